@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _contracted(batches):
+    """The links of one task, each node linked to the least node that it reaches by them."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    pairs = [(x, root(x)) for x in list(up) if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (least node of its component) of every node that has a link; edges are pairs (a, b) of any comparable type.
+    """node, root (least node of its component) of every node that has a link; edges are pairs (a, b) of longs.
 
     Loops and repeated or reversed pairs do not matter; no edges give no rows. The edges stay spread over the cluster; only the
     number of them and a checksum, which stop changing at the end, reach the driver."""
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, last = staged(edges), None
+    edges, last = staged(edges.mapInArrow(_contracted, edges.schema).distinct()), None
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last or not now[0]:

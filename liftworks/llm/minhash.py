@@ -1,7 +1,7 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 Documents with equal shingle sets form one class; a class is a node. Each node has a signature, cut into TREES sorted orders of
-DEPTH values. In each order, a node's candidates are its next NEIGHBOURS nodes that share at least LEAST_DEPTH leading values, so the
+DEPTH values. In each order, a node's candidates are its next NEIGHBOURS nodes that share at least half of these values, so the
 depth adapts to how crowded a region is. Candidates whose signatures agree enough are checked on their full sets: first each node's
 most promising ones, then all others that would still join two components. Regions more crowded than NEIGHBOURS, whose nodes did not
 all come together, are gone through exactly: nodes outside a region's main component meet all of that component's and the region's
@@ -10,8 +10,6 @@ nodes, block by block, on their full sets.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 from liftworks.llm.common import mix, shingle_set, small_batches, staged, table, utf8
 from liftworks.llm.components import components
 
-SHINGLE, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 16, 4, 2, 8
+SHINGLE, TREES, DEPTH, NEIGHBOURS = 5, 16, 4, 8
 HASHES = TREES * DEPTH
 #: Links need 100 * intersection >= LINK * union.
 LINK = 75
@@ -32,16 +30,15 @@ AGREE = 34
 FIRST = 6
 #: Nodes of a block in the exact pass over crowded regions.
 REGION_BLOCK = 2000
-_SEEDS = np.random.default_rng(2025).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(2025).integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """HASHES minima (32 bits each) of a non-empty set."""
-    out = np.empty(HASHES, np.uint32)
-    for i in range(0, len(shingles), 4096):
-        part = mix(shingles[i : i + 4096])
-        low = np.array([(part * s).min() >> np.uint64(32) for s in _SEEDS], np.uint32)
-        out = low if i == 0 else np.minimum(out, low)
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(shingles), 2048):
+        part = (mix(shingles[i : i + 2048]) >> np.uint64(32)).astype(np.uint32)
+        out = np.minimum(out, (part[:, None] * _SEEDS).min(axis=0))
     return out
 
 
@@ -67,43 +64,62 @@ def described(documents: DataFrame) -> DataFrame:
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """A row per node and tree: tree, order (DEPTH values, big-endian, so that bytes sort as values), key, bits (4 of each value), size."""
+    """A row per node and tree: tree, hi and lo (its DEPTH values in two longs that sort alike), id, bits (4 of each value), n."""
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(len(b), HASHES)
-            low = (sig & 15).astype(np.uint8)
-            bits = [x.tobytes() for x in (low[:, ::2] << 4) | low[:, 1::2]]
-            big = sig.astype(">u4")
+            low = ((sig >> np.uint32(9)) & 15).astype(np.uint8)
+            bits = pa.array([x.tobytes() for x in (low[:, ::2] << 4) | low[:, 1::2]], pa.binary())
+            wide = sig.astype(np.uint64)
+            pairs = ((wide[:, ::2] << np.uint64(32)) | wide[:, 1::2]).view(np.int64)
             for t in range(TREES):
-                order = [x.tobytes() for x in big[:, t * DEPTH : (t + 1) * DEPTH]]
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(b), pa.int32()), pa.array(order, pa.binary()), b.column("key"), pa.array(bits, pa.binary()), b.column("n")], ["tree", "order", "key", "bits", "n"])
+                hi, lo = (pa.array(np.ascontiguousarray(pairs[:, t * DEPTH // 2 + k])) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), t, np.int32)), hi, lo, b.column("id"), bits, b.column("n")], ["tree", "hi", "lo", "id", "bits", "n"])
+
+    return nodes.select("id", "sig", "n").mapInArrow(run, "tree int, hi long, lo long, id long, bits binary, n long")
 
-    return nodes.select("key", "sig", "n").mapInArrow(run, "tree int, order binary, key binary, bits binary, n long")
 
+_EQUAL4 = np.array([[((a >> 4) == (b >> 4)) + ((a & 15) == (b & 15)) for b in range(256)] for a in range(256)], np.uint8).ravel()
 
-_EQUAL4 = np.array([[((a >> 4) == (b >> 4)) + ((a & 15) == (b & 15)) for b in range(256)] for a in range(256)], np.uint8)
 
+def _compared(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Candidate pairs (a > b, agreeing values) among rows in sorted order: each with the next NEIGHBOURS rows of its region."""
+    tree, hi, _, ids, bits, n = rows
+    out = []
+    for step in range(1, NEIGHBOURS + 1):
+        at = np.flatnonzero((hi[step:] == hi[:-step]) & (tree[step:] == tree[:-step]))
+        x, y = ids[at], ids[at + step]
+        ok = (x != y) & (100 * np.minimum(n[at], n[at + step]) >= LINK * np.maximum(n[at], n[at + step]))
+        at = at[ok]
+        agree = np.zeros(len(at), np.int32)
+        for i in range(0, len(at), 20_000):
+            k = at[i : i + 20_000]
+            agree[i : i + 20_000] = _EQUAL4[bits[k].astype(np.uint16) * 256 + bits[k + step]].sum(axis=1)
+        near = agree >= AGREE
+        x, y = ids[at[near]], ids[at[near] + step]
+        out.append(np.array([np.maximum(x, y), np.minimum(x, y), agree[near]], np.int64))
+    return list(np.concatenate(out, axis=1))
 
-def _compare(rows: deque, row: tuple, out: list) -> None:
-    """Pairs of a row with those before it in its sorted order."""
-    tree, order, key, bits, n = row
-    mine = np.frombuffer(bits, np.uint8)
-    for t, o, k, b, m in rows:
-        if t == tree and o[: 4 * LEAST_DEPTH] == order[: 4 * LEAST_DEPTH] and k != key and 100 * min(n, m) >= LINK * max(n, m):
-            agree = int(_EQUAL4[mine, np.frombuffer(b, np.uint8)].sum())
-            if agree >= AGREE:
-                out.append((max(k, key), min(k, key), agree))
 
+_ROW, _PAIR = "tree int, hi long, lo long, id long, bits binary, n long", "a long, b long, agree long"
+_NAMES = ["tree", "hi", "lo", "id", "bits", "n"]
 
-_PAIR = "a binary, b binary, agree int"
 
+def _arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of forest rows; bits as a matrix."""
+    raw = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(len(b), HASHES // 2)
+    return [raw if c == "bits" else b.column(c).to_numpy() for c in _NAMES]
 
-def _pairs(found: list) -> list[pa.Array]:
-    cols = list(zip(*found, strict=True)) or [[]] * 3
-    return [pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int32()), strict=True)]
+
+def _batch(rows: list[np.ndarray] | None, pairs: list[np.ndarray] | None) -> pa.RecordBatch:
+    """Forest rows or pairs, the other columns null."""
+    n = len(rows[0]) if rows else len(pairs[0])
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    own = [pa.array([x.tobytes() for x in c], k) if c.ndim == 2 else pa.array(c, k) for c, k in zip(rows, kinds, strict=True)] if rows else [pa.nulls(n, k) for k in kinds]
+    return pa.RecordBatch.from_arrays([*own, *([pa.array(c) for c in pairs] if pairs else [pa.nulls(n, pa.int64())] * 3)], [*_NAMES, "a", "b", "agree"])
 
 
 def candidates(trees: DataFrame) -> DataFrame:
@@ -113,61 +129,55 @@ def candidates(trees: DataFrame) -> DataFrame:
     small pass whose size depends on the number of partitions alone."""
     spark = trees.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = trees.repartitionByRange(n, "tree", "order", "key").sortWithinPartitions("tree", "order", "key")
-    names = ["tree", "order", "key", "bits", "n"]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    order = ["tree", "hi", "lo", "id"]
+    ranged = trees.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        rows, seen = deque(maxlen=NEIGHBOURS), 0
-        nothing = lambda k: [pa.nulls(k, t) for t in (pa.binary(), pa.binary(), pa.int32())]
-        schema = [*names, "a", "b", "agree"]
+        last, first = None, 0
         for b in batches:
-            found, first = [], []
-            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                _compare(rows, row, found)
-                rows.append(row)
-                if seen < NEIGHBOURS:
-                    first.append(row)
-                seen += 1
-            if first:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*first, strict=True), kinds, strict=True)), *nothing(len(first))], schema)
-            if found:
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(found), k) for k in kinds), *_pairs(found)], schema)
-        rest = list(rows)[-max(0, min(len(rows), seen - NEIGHBOURS)) :] if seen > NEIGHBOURS else []
-        if rest:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rest, strict=True), kinds, strict=True)), *nothing(len(rest))], schema)
-
-    got = staged(ranged.mapInArrow(run, f"tree int, order binary, key binary, bits binary, n long, {_PAIR}"))
+            if not len(b):
+                continue
+            now = _arrays(b)
+            if first < NEIGHBOURS:
+                yield _batch([c[: NEIGHBOURS - first] for c in now], None)
+                first += min(len(b), NEIGHBOURS - first)
+            rows = [np.concatenate(x) for x in zip(last, now, strict=True)] if last else now
+            yield _batch(None, _compared(rows))
+            last = [c[-NEIGHBOURS:] for c in rows]
+        if last:
+            yield _batch(last, None)
+
+    got = staged(ranged.mapInArrow(run, f"{_ROW}, {_PAIR}"))
 
     def edge(batches):
-        rows = deque(maxlen=NEIGHBOURS)
+        last = None
         for b in batches:
-            found = []
-            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                _compare(rows, row, found)
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays(_pairs(found), ["a", "b", "agree"])
+            if len(b):
+                now = _arrays(b)
+                rows = [np.concatenate(x) for x in zip(last, now, strict=True)] if last else now
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _compared(rows)], ["a", "b", "agree"])
+                last = [c[-NEIGHBOURS:] for c in rows]
 
-    edges = got.where("tree IS NOT NULL").select(*names).coalesce(1).sortWithinPartitions("tree", "order", "key").mapInArrow(edge, _PAIR)
+    edges = got.where("tree IS NOT NULL").select(*_NAMES).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(edge, _PAIR)
     return got.where("a IS NOT NULL").select("a", "b", "agree").unionByName(edges).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, set (sorted 8-byte shingles) of the wanted nodes (key, doc_id of one of their documents)."""
+    """id, set (sorted 8-byte shingles) of the wanted nodes (id, key, doc_id of one of their documents)."""
     small_batches(documents.sparkSession)
 
     def run(batches):
         for b in batches:
-            keys, sets = [], []
-            for t, k in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True):
+            ids, sets = [], []
+            for t, i, k in zip(b.column("text").to_pylist(), b.column("id").to_pylist(), b.column("key").to_pylist(), strict=True):
                 s = shingle_set(t, SHINGLE)
-                if len(s) and key_of(s) == k:
-                    keys.append(k)
+                if len(s) and key_of(s) == k:  # of rows alike in doc_id, only those of the node's own set
+                    ids.append(i)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).join(wanted, "doc_id").select("text", "key")
-    return rows.mapInArrow(run, "key binary, set binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).join(wanted, "doc_id").select("text", "id", "key")
+    return rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -189,47 +199,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
-    left = sets.select(F.col("key").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
-
-
-def crowded(trees: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of crowded regions (over NEIGHBOURS nodes alike in all DEPTH values of a tree): tree, order, key, root."""
-    regions = staged(trees.groupBy("tree", "order").agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1).select("tree", "order"))
-    members = trees.select("tree", "order", "key").join(regions, ["tree", "order"])
-    return members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def stragglers(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(main, key): for each crowded region, its main component (most members, then least root) and the members outside it; and
-    (main, key) of all that they have to meet: the main component's nodes and the stragglers themselves."""
-    members = staged(crowded(trees, roots))
-    sizes = members.groupBy("tree", "order", "root").agg(F.count("*").alias("m"))
-    mains = staged(sizes.groupBy("tree", "order").agg(F.max_by("root", F.struct(F.col("m"), F.hex("root"))).alias("main")))
-    outside = staged(members.join(mains, ["tree", "order"]).where(F.col("root") != F.col("main")).select("main", "key").distinct())
-    held = staged(outside.select("main").distinct())
-    whole = members.select("key", "root").distinct().join(held.withColumnRenamed("main", "root"), "root").select(F.col("root").alias("main"), "key")
+    """For crowded regions (over NEIGHBOURS + 1 nodes alike in all DEPTH values of a tree): (main, id), a region's main component (most
+    members, then least root) and the members outside it; and (main, id) of all that they have to meet: the main components' nodes and
+    the stragglers themselves."""
+    at = ["tree", "hi", "lo"]
+    regions = staged(trees.groupBy(*at).agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1).select(*at))
+    members = trees.select(*at, "id").join(regions, at).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = staged(members)
+    sizes = members.groupBy(*at, "root").agg(F.count("*").alias("m"))
+    mains = staged(sizes.groupBy(*at).agg(F.max_by("root", F.struct(F.col("m"), -F.col("root"))).alias("main")))
+    outside = staged(members.join(mains, at).where(F.col("root") != F.col("main")).select("main", "id").distinct())
+    held = outside.select("main").distinct()
+    whole = members.select("id", "root").distinct().join(held.withColumnRenamed("main", "root"), "root").select(F.col("root").alias("main"), "id")
     return outside, whole.unionByName(outside).distinct()
 
 
 def met(outside: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between stragglers and what they have to meet, in blocks, by products of 0/1 matrices over shared shingles."""
-    count = staged(whole.groupBy("main").agg(F.count("*").alias("m")).withColumn("blocks", F.expr(f"1 + m div {REGION_BLOCK}")))
-    many = staged(outside.groupBy("main").agg(F.count("*").alias("m")).withColumn("strips", F.expr(f"1 + m div {REGION_BLOCK}")))
-    part = lambda n: F.pmod(F.xxhash64("key"), n)
-    right = whole.join(count.select("main", "blocks"), "main").join(many.select("main", "strips"), "main")
-    right = right.withColumn("block", part(F.col("blocks"))).withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)))
-    left = outside.join(count.select("main", "blocks"), "main").join(many.select("main", "strips"), "main")
-    left = left.withColumn("strip", part(F.col("strips"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left, right = (x.select("main", "block", "strip", "key").join(sets, "key") for x in (left, right))
+    blocks = whole.groupBy("main").agg(F.expr(f"1 + count(*) div {REGION_BLOCK}").alias("blocks"))
+    strips = outside.groupBy("main").agg(F.expr(f"1 + count(*) div {REGION_BLOCK}").alias("strips"))
+    grid = staged(blocks.join(strips, "main"))
+    part = lambda n: F.pmod(F.xxhash64("id"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = outside.join(grid, "main").withColumn("strip", part(F.col("strips"))).withColumn("block", each("blocks"))
+    right = whole.join(grid, "main").withColumn("block", part(F.col("blocks"))).withColumn("strip", each("strips"))
+    names = ["main", "block", "strip", "id", "set"]
+    left, right = (x.join(sets, "id").select(*[F.col(c).alias(c + side) for c in names]) for x, side in ((left, "_l"), (right, "_r")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ks, ms = left.column("key").to_pylist(), right.column("key").to_pylist()
-        a, b = [[np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()] for t in (left, right)]
+        ks, ms = left.column("id_l").to_pylist(), right.column("id_r").to_pylist()
+        a, b = [[np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in (left.column("set_l"), right.column("set_r"))]
         found = set()
         if a and b:
-            every, n = np.unique(np.concatenate([*map(np.unique, [np.concatenate(a)]), *b]), return_counts=True)
+            every, n = np.unique(np.concatenate([np.unique(np.concatenate(a)), *b]), return_counts=True)
             shared = every[n > 1]
             size_b = np.array([len(x) for x in b])
             for i in range(0, len(a), 256):
@@ -256,10 +264,10 @@ def met(outside: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
                         if x != y:
                             found.add((max(x, y), min(x, y)))
         cols = list(zip(*found, strict=True)) or [[], []]
-        return pa.table([pa.array(c, pa.binary()) for c in cols], names=["a", "b"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     keys = ["main", "block", "strip"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a binary, b binary")
+    return left.groupBy(*[k + "_l" for k in keys]).cogroup(right.groupBy(*[k + "_r" for k in keys])).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -268,37 +276,45 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Texts that are null, empty or without words have no shingles and link with nothing; exact copies share a class; rows alike in
     doc_id but not in text are each classified by their own text. Other columns play no part."""
     described_ = staged(described(documents))
-    nodes = staged(described_.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")))
+    nodes = described_.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"))
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))  # written once: the numbers stay
     trees = staged(forest(nodes))
     pairs = staged(candidates(trees))
-    ids = nodes.select("key", "doc_id")
-    inside = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = staged(sets_of(documents, inside.join(ids, "key")))
-    ends = pairs.select("a", "b", "agree", F.col("a").alias("end")).unionByName(pairs.select("a", "b", "agree", F.col("b").alias("end")))
+    ids = nodes.select("id", "key", "doc_id")
+    inside = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = staged(sets_of(documents, inside.join(ids, "id")))
+    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     w = Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")
     first = ends.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FIRST).select("a", "b").distinct()
-    links = staged(confirmed(first, sets))
-    roots = staged(components(links))
+    roots = staged(components(confirmed(first, sets)))
 
     def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of different components, with these components."""
         a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        rows = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
+        return rows.where(F.col("ra") != F.col("rb"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components once these links are in: only the components they touch are gone through again."""
+        rows = apart(links).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        over = components(rows).select(F.col("node").alias("root"), F.col("root").alias("over"))
+        seen = roots.select("node", "root").unionByName(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
+        return staged(seen.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
 
     more = staged(confirmed(apart(pairs), sets))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = staged(components(links))
-    outside, whole = stragglers(trees, roots.withColumnRenamed("node", "key"))
+        roots = joined(more)
+    outside, whole = stragglers(trees, roots.withColumnRenamed("node", "id"))
     if not outside.isEmpty():
-        outside, whole = staged(outside), staged(whole)
-        extra = staged(whole.select("key").distinct().join(sets.select("key"), "key", "left_anti"))
+        whole = staged(whole)
+        extra = staged(whole.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
         if not extra.isEmpty():
-            sets = sets.unionByName(staged(sets_of(documents, extra.join(ids, "key"))))
-        more = staged(met(outside, whole, sets.dropDuplicates(["key"])))
+            sets = sets.unionByName(staged(sets_of(documents, extra.join(ids, "id"))))
+        more = staged(met(outside, whole, sets))
         if not more.isEmpty():
-            roots = staged(components(links.unionByName(more)))
-    classes = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = staged(classes.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+            roots = joined(more)
+    classes = staged(nodes.select("id", "key", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_key = staged(classes.join(least, "root").select("key", "component_id"))
     rows = described_.select("doc_id", "n_shingles", "key")
     done = rows.where("key IS NOT NULL").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
