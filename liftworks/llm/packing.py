@@ -10,6 +10,7 @@ pieces find their rank within their length, and so their sequence and place, by
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from pathlib import Path
@@ -22,7 +23,7 @@ from liftworks.llm.common import CACHE_WORDS, small_batches, staged, table
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked in one task.
-RANK_CHUNK = 20_000
+RANK_CHUNK = 500
 
 
 def tokenizer_path() -> str:
@@ -31,23 +32,54 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257 and so on, in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
 class Encoder(dict):
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins text across white space, so words between spaces and line breaks are encoded once and
-    remembered, up to CACHE_WORDS."""
+    The tokenizer never joins text across white space, so words between spaces and line breaks are encoded once and remembered, up to
+    CACHE_WORDS; so are the letters of words that are letters and then marks, which go to the tokenizer's model at once. A worker keeps
+    its encoder from task to task."""
+
+    _kept: tuple[str, Encoder] | None = None
 
     def __init__(self, definition: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.stems: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, definition: str) -> Encoder:
+        if cls._kept is None or cls._kept[0] != definition:
+            cls._kept = definition, cls(definition)
+        return cls._kept[1]
+
+    def _stem(self, letters: str) -> bytes:
+        raw = self.stems.get(letters)
+        if raw is None:
+            if len(self.stems) >= CACHE_WORDS:
+                self.stems.clear()
+            ids = [x.id for x in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(_ALPHABET))]
+            self.stems[letters] = raw = struct.pack(f"<{len(ids)}I", *ids)
+        return raw
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        raw = struct.pack(f"<{len(ids)}I", *ids)
+        stem = word.rstrip(_MARKS)
+        if stem != word and stem.isalpha() and len(word) <= 100:
+            raw = self[stem] + self[word[len(stem) :]]
+        elif word.isalpha() and len(word) <= 100 and "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
+            raw = self._stem(word.lower())
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            raw = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 200:
             self[word] = raw
         return raw
@@ -62,7 +94,7 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
     definition = Path(path or tokenizer_path()).read_text()  # on the driver; its text goes to the tasks
 
     def run(batches):
-        encoder = Encoder(definition)
+        encoder = Encoder.of(definition)
         for b in batches:
             out = []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
