@@ -75,8 +75,8 @@ class Encoder(dict):
         stem = word.rstrip(_MARKS)
         if stem != word and stem.isalpha() and len(word) <= 100:
             raw = self[stem] + self[word[len(stem) :]]
-        elif word.isalpha() and len(word) <= 100 and "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
-            raw = self._stem(word.lower())
+        elif word.isalpha() and len(word) <= 100 and "\u03a3" not in word and unicodedata.is_normalized("NFC", word) and (low := word.lower()).isalpha():
+            raw = self._stem(low)
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             raw = struct.pack(f"<{len(ids)}I", *ids)
