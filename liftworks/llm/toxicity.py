@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from liftworks.llm.common import small_batches, table, utf8
 
@@ -181,7 +182,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     flag = "_toxic_score"
     while flag in names:
         flag += "_"
-    schema = documents.schema.add(flag, "double")
+    schema = StructType([*documents.schema.fields, StructField(flag, DoubleType())])
 
     def run(batches):
         saved = model.distances()
