@@ -86,8 +86,8 @@ fb AS (SELECT CAST(user_id AS VARCHAR) AS client_id, CAST(date_trunc('week', ts)
 _ARMS = "count(*) FILTER (WHERE arm = 'action') AS n1, coalesce(sum(success) FILTER (WHERE arm = 'action'), 0)::BIGINT AS s1, count(*) FILTER (WHERE arm = 'control') AS n0, coalesce(sum(success) FILTER (WHERE arm = 'control'), 0)::BIGINT AS s0"
 _P = S.z_test_p("n1", "s1", "n0", "s0")
 _N = ("n1", "s1", "n0", "s0")
-_JUDGED = f"""round({S.rate("s1", "n1")}, 6) AS action_rate, round({S.rate("s0", "n0")}, 6) AS control_rate, round({S.lift(*_N)}, 6) AS lift, round({S.relative_lift(*_N)}, 6) AS relative_lift,
-round({S.lift(*_N)} - {S.half_width(*_N)}, 6) AS ci_low, round({S.lift(*_N)} + {S.half_width(*_N)}, 6) AS ci_high, round({_P}, 6) AS p_value, {S.significance(_P)} AS significance, round({S.lift(*_N)} / 100e0 * n1, 4) AS incremental"""
+_JUDGED = f"""round({S.rate("s1", "n1")}, 6) + 0e0 AS action_rate, round({S.rate("s0", "n0")}, 6) + 0e0 AS control_rate, round({S.lift(*_N)}, 6) + 0e0 AS lift, round({S.relative_lift(*_N)}, 6) + 0e0 AS relative_lift,
+round({S.lift(*_N)} - {S.half_width(*_N)}, 6) + 0e0 AS ci_low, round({S.lift(*_N)} + {S.half_width(*_N)}, 6) + 0e0 AS ci_high, round({_P}, 6) + 0e0 AS p_value, {S.significance(_P)} AS significance, round({S.lift(*_N)} / 100e0 * n1, 4) + 0e0 AS incremental"""
 
 
 def q(select: str, ctes: str = "") -> str:
@@ -161,7 +161,7 @@ _LONG = "(" + " UNION ALL ".join(f"SELECT campaign, arm, client_id, success, '{k
 add("e5_slices", on_att(lambda d: effect.slices(d, ["cohort", "channel", "report_group"])), q(judged(by_arms("campaign, slice_type, slice", _CLIENTS.format("campaign, slice_type, slice", _LONG)), "campaign, slice_type, slice")))
 _BANDS = "(" + " UNION ALL ".join(f"SELECT campaign, arm, client_id, success, '{k}' AS slice_type, {v} AS slice FROM rich" for k, v in (("OVERALL", "'ALL'"), ("AGE_BAND", S.bucket("age", *K.AGES)), ("TENURE_BAND", S.bucket("tenure", *K.TENURES)), ("INCOME_BAND", S.bucket("income", *K.INCOMES)))) + ")"
 add("e6_p17_segments", lambda s, d: effect.slices(profile.segments(rich(s, d)), ["age_band", "tenure_band", "income_band"]), q(judged(by_arms("campaign, slice_type, slice", _CLIENTS.format("campaign, slice_type, slice", _BANDS)), "campaign, slice_type, slice")))
-add("e9_efficiency", on_att(scorecard.efficiency), q(f"SELECT campaign, deployments, clients, round(deployments::DOUBLE / clients, 6) AS avg_contacts, CASE WHEN incremental > 0 THEN round(deployments / incremental, 4) ELSE 0 END AS per_incremental FROM (SELECT campaign, count(*) AS deployments, count(DISTINCT client_id) AS clients FROM att WHERE arm = 'action' GROUP BY 1) JOIN ({judged(by_arms('campaign'), 'campaign')}) USING (campaign)"))
+add("e9_efficiency", on_att(scorecard.efficiency), q(f"SELECT campaign, deployments, clients, round(deployments::DOUBLE / clients, 6) AS avg_contacts, CASE WHEN incremental > 0 THEN round(deployments / incremental, 4) ELSE 0 END + 0e0 AS per_incremental FROM (SELECT campaign, count(*) AS deployments, count(DISTINCT client_id) AS clients FROM att WHERE arm = 'action' GROUP BY 1) JOIN ({judged(by_arms('campaign'), 'campaign')}) USING (campaign)"))
 _ACT = "SELECT campaign, CASE WHEN grouping(cohort) = 1 THEN 'ALL' ELSE cohort END AS cohort, CASE WHEN grouping(report_group) = 1 THEN 'ALL' ELSE report_group END AS report_group, count(*) AS n1, sum(success)::BIGINT AS s1, count(DISTINCT client_id) AS clients FROM att WHERE arm = 'action' GROUP BY GROUPING SETS ((campaign), (campaign, cohort), (campaign, report_group), (campaign, cohort, report_group))"
 _CON = "SELECT campaign, CASE WHEN grouping(cohort) = 1 THEN 'ALL' ELSE cohort END AS cohort, count(*) AS n0, sum(success)::BIGINT AS s0 FROM att WHERE arm = 'control' GROUP BY GROUPING SETS ((campaign), (campaign, cohort))"
 _CONS = judged(f"SELECT a.*, coalesce(n0, 0) AS n0, coalesce(s0, 0) AS s0 FROM ({_ACT}) a LEFT JOIN ({_CON}) c USING (campaign, cohort)", "campaign, cohort, report_group, clients")
@@ -253,7 +253,7 @@ add("v6_v7_fixed_grid", on_att(lambda d: vintage.curves(d.where("campaign = 'ACQ
 _FQ2 = "'FY' || year(CAST(cohort || '-01' AS DATE) + INTERVAL 2 MONTH) || 'Q' || quarter(CAST(cohort || '-01' AS DATE) + INTERVAL 2 MONTH)"
 add("r1_to_fiscal", on_att(lambda d: vintage.to_fiscal(vintage.curves(d, ("campaign", "cohort", "arm")))), q(f"SELECT campaign, {_FQ2} AS fiscal, arm, day, sum(client_cnt)::BIGINT AS client_cnt, sum(success_cnt)::BIGINT AS success_cnt, {r('sum(success_cnt)', 'sum(client_cnt)')} AS rate FROM ({_curve('campaign, cohort, arm')}) GROUP BY ALL"))
 add("r2_r3_rates_table", on_att(lambda d: vintage.rates_table(vintage.curves(d), 30)), q(f"SELECT campaign, arm, CASE WHEN grouping(report_group) = 1 THEN 'ALL' ELSE report_group END AS report_group, sum(client_cnt)::BIGINT AS client_cnt, sum(success_cnt)::BIGINT AS success_cnt, {r('sum(success_cnt)', 'sum(client_cnt)')} AS rate FROM ({_curve(_BY)}) WHERE day = 30 GROUP BY GROUPING SETS ((campaign, arm, report_group), (campaign, arm))"))
-add("r5_latest_lifts", on_att(lambda d: vintage.latest_lifts(vintage.curves(d, ("campaign", "cohort", "arm")))), q(f"SELECT *, round(action_rate - control_rate, 5) AS lift FROM (SELECT campaign, cohort, max(rate) FILTER (WHERE arm = 'action') AS action_rate, max(rate) FILTER (WHERE arm = 'control') AS control_rate, dr AS rank FROM (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY campaign ORDER BY cohort DESC) AS dr FROM ({_curve('campaign, cohort, arm')})) WHERE dr <= 3) GROUP BY campaign, cohort, dr) WHERE rank <= 3"))
+add("r5_latest_lifts", on_att(lambda d: vintage.latest_lifts(vintage.curves(d, ("campaign", "cohort", "arm")))), q(f"SELECT *, round(action_rate - control_rate, 5) + 0e0 AS lift FROM (SELECT campaign, cohort, max(rate) FILTER (WHERE arm = 'action') AS action_rate, max(rate) FILTER (WHERE arm = 'control') AS control_rate, dr AS rank FROM (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY campaign ORDER BY cohort DESC) AS dr FROM ({_curve('campaign, cohort, arm')})) WHERE dr <= 3) GROUP BY campaign, cohort, dr) WHERE rank <= 3"))
 add("e12_curve_export", with_txns(scorecard.exports))
 
 # --- spend -----------------------------------------------------------------------------------------------------------------------
@@ -270,7 +270,7 @@ add("d2_pre_post_overall", with_txns(lambda d, t: spend.per_client(spend.pre_pos
 
 def _did(rows: str) -> str:
     m = lambda arm, c: f"coalesce(max({c}::DOUBLE / clients) FILTER (WHERE arm = '{arm}'), 0)"
-    d = lambda k: f"round(({m('action', 'post_' + k)} - {m('action', 'pre_' + k)}) - ({m('control', 'post_' + k)} - {m('control', 'pre_' + k)}), 4) AS did_{k}"
+    d = lambda k: f"round(({m('action', 'post_' + k)} - {m('action', 'pre_' + k)}) - ({m('control', 'post_' + k)} - {m('control', 'pre_' + k)}), 4) + 0e0 AS did_{k}"
     return f"SELECT campaign, {d('spend')}, {d('txns')} FROM ({rows}) GROUP BY 1"
 
 
