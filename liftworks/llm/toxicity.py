@@ -24,8 +24,9 @@ from liftworks.llm.common import small_batches, table, utf8
 
 #: Bytes of a window; level and bytes of the ordinary dictionary and of the toxic one.
 WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 128, 5, 4096, 512
-#: Labelled rows of each class that the model is fitted on, at most (documented bound of the training sample), and bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6000
+#: Labelled rows of each class that the model is fitted on, at most, drawn from those whose text has at most so many bytes; each is
+#: read whole (documented bound of the training sample: 2 x SAMPLE_ROWS x SAMPLE_BYTES bytes reach the driver at most).
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 16
 #: A word marks toxic text from this z-score of its document frequencies on, and from this share of the highest z-score.
 MARK_Z, MARK_SHARE = 6.0, 0.4
 THRESHOLD = 0.3
@@ -136,13 +137,14 @@ def remainder(doc_id) -> F.Column:
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on at most SAMPLE_ROWS labelled rows of each class (those with the smallest hash of their id), never on held-out ones.
 
-    Without a row of both classes there is no model (None)."""
+    Rows over SAMPLE_BYTES are not drawn; those drawn are read whole. Without a row of both classes there is no model (None)."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & (remainder(F.col("doc_id")) != 2)).distinct()
+    short = documents.where(F.octet_length(utf8()) <= SAMPLE_BYTES)
+    rows = rows.join(short.select("doc_id"), "doc_id", "left_semi")
     h = F.xxhash64("doc_id")
     parts = [rows.where(F.col("_y") == y).orderBy(h, "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 x SAMPLE_ROWS ids
-    text = F.substring(utf8(), 1, SAMPLE_BYTES)
-    got = documents.select("doc_id", text.alias("_t")).join(sample, "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).orderBy("doc_id", "_y").collect()
+    got = short.select("doc_id", utf8().alias("_t")).join(sample, "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).orderBy("doc_id", "_y").collect()
     if len({r["_y"] for r in got}) < 2:
         return None
     return fit([(bytes(r["_t"]), r["_y"]) for r in got])
