@@ -20,21 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from liftworks.llm.common import small_batches, table, utf8
+from liftworks.llm.common import small_batches, staged, table, utf8
 
 #: Bytes of a window; level and bytes of the ordinary dictionary and of the toxic one.
-WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 128, 5, 4096, 512
+WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 64, 5, 8192, 1024
 #: Labelled rows of each class that the model is fitted on, at most, drawn from those whose text has at most so many bytes; each is
 #: read whole (documented bound of the training sample: 2 x SAMPLE_ROWS x SAMPLE_BYTES bytes reach the driver at most).
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 16
-#: A word marks toxic text from this z-score of its document frequencies on, and from this share of the highest z-score.
-MARK_Z, MARK_SHARE = 6.0, 0.4
+#: A word marks toxic text from this z-score of its document frequencies on.
+MARK_Z = 6.0
 THRESHOLD = 0.3
 #: Letters and digits in lower case; other ASCII characters separate words.
 _WORDS = bytes(c if c >= 0x80 or 97 <= c <= 122 or 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
+def windows(words: list[bytes], size: int) -> Iterator[bytes]:
     """The words in order, joined by spaces, cut between words into windows of at most size bytes (longer words are split)."""
     run, n = [], 1
     for w in words:
@@ -66,7 +66,7 @@ class Model:
             return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
         a, b = sizer(self.ordinary), sizer(self.toxic + self.ordinary)
-        return lambda text: np.array([len(a(w)) - len(b(w)) for w in windows(text.translate(_WORDS).split())], float)
+        return lambda text: np.array([len(a(w)) - len(b(w)) for w in windows(text.translate(_WORDS).split(), WINDOW)], float)
 
     def score(self, saved: np.ndarray) -> float:
         if not len(saved):
@@ -81,15 +81,15 @@ def features(saved: np.ndarray) -> np.ndarray:
     return np.array([1.0, max(-1.0, min(4.0, saved.mean())), clear / len(saved), math.log1p(clear), min(12.0, saved.max()) / 4])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        w = w + np.linalg.solve(h, x.T @ (y - p) - penalty @ w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
+        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty @ w)
     return w
 
 
@@ -101,23 +101,24 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Train on (text, label) rows in the given order."""
+def fit(rows: list[tuple[bytes, int]], totals: tuple[int, int] | None = None) -> Model:
+    """Train on (text, label) rows in the given order; totals: rows of each class that they were drawn from, so that scores
+    are calibrated to the classes' true shares and not to those of the sample."""
     kept = list(dict.fromkeys(rows))  # copies count once
     words = [(t.translate(_WORDS).split(), y) for t, y in kept]
     n = [max(1, sum(y == k for _, y in words)) for k in (0, 1)]
+    of = totals or n
+    weights = np.array([of[k] / n[k] for k in (0, 1)]) * sum(n) / sum(of)
     seen = [Counter(w for d, y in words if y == k for w in set(d)) for k in (0, 1)]
 
     def z(w: bytes) -> float:
         p = (seen[0][w] + seen[1][w]) / (n[0] + n[1])
         return (seen[1][w] / n[1] - seen[0][w] / n[0]) / math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-9)
 
-    ranked = {w: z(w) for w in seen[1]}
-    least = max(MARK_Z, MARK_SHARE * max(ranked.values(), default=0))
-    marks = {w for w, v in ranked.items() if v >= least}
-    toxic = [x for d, y in words if y == 1 for x in windows([w for w in d if w in marks], 64)]
-    ordinary = [x for d, y in words if y == 0 for x in windows(d, 64)]
-    model = Model(_dictionary(ordinary[:: max(1, len(ordinary) // 20_000)], ORDINARY_BYTES), _dictionary(toxic, TOXIC_BYTES), [0.0] * 5, n[1] / (n[0] + n[1]))
+    marks = {w for w in seen[1] if z(w) >= MARK_Z}
+    toxic = [x for d, y in words if y == 1 for x in windows([w for w in d if w in marks], WINDOW)]
+    ordinary = [x for d, y in words if y == 0 for x in windows(d, WINDOW)]
+    model = Model(_dictionary(ordinary[:: max(1, len(ordinary) // 20_000)], ORDINARY_BYTES), _dictionary(toxic, TOXIC_BYTES), [0.0] * 5, of[1] / sum(of))
     saved, y = model.distances(), []
     x = []
     for t, label in kept:
@@ -125,7 +126,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
             x.append(features(s))
             y.append(label)
     if x:
-        model.weights = logistic(np.array(x), np.array(y, float)).tolist()
+        model.weights = logistic(np.array(x), np.array(y, float), weights[y]).tolist()
     return model
 
 
@@ -140,14 +141,15 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     Rows over SAMPLE_BYTES are not drawn; those drawn are read whole. Without a row of both classes there is no model (None)."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & (remainder(F.col("doc_id")) != 2)).distinct()
     short = documents.where(F.octet_length(utf8()) <= SAMPLE_BYTES)
-    rows = rows.join(short.select("doc_id"), "doc_id", "left_semi")
+    rows = staged(rows.join(short.select("doc_id"), "doc_id", "left_semi"))
+    n = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
     h = F.xxhash64("doc_id")
     parts = [rows.where(F.col("_y") == y).orderBy(h, "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 x SAMPLE_ROWS ids
     got = short.select("doc_id", utf8().alias("_t")).join(sample, "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).orderBy("doc_id", "_y").collect()
     if len({r["_y"] for r in got}) < 2:
         return None
-    return fit([(bytes(r["_t"]), r["_y"]) for r in got])
+    return fit([(bytes(r["_t"]), r["_y"]) for r in got], (n[0], n[1]))
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
