@@ -3,9 +3,9 @@
 Documents with equal shingle sets form one class; a class is a node. Each node has a signature, cut into TREES sorted orders of
 DEPTH values. In each order, a node's candidates are its next NEIGHBOURS nodes that share at least half of these values, so the
 depth adapts to how crowded a region is. Candidates whose signatures agree enough are checked on their full sets: first each node's
-most promising ones, then all others that would still join two components. Regions more crowded than NEIGHBOURS, whose nodes did not
-all come together, are gone through exactly: nodes outside a region's main component meet all of that component's and the region's
-nodes, block by block, on their full sets.
+most promising ones, then all others that would still join two components. Regions (nodes alike in half of an order's values) more
+crowded than NEIGHBOURS, whose nodes did not all come together, are gone through exactly: nodes outside a region's main component meet
+all of that component's and the region's nodes, block by block, on their full sets.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ SHINGLE, TREES, DEPTH, NEIGHBOURS = 5, 16, 4, 8
 HASHES = TREES * DEPTH
 #: Links need 100 * intersection >= LINK * union.
 LINK = 75
-#: Signature values (of HASHES, compared by 4 bits each) that must agree for a check of the full sets: over four standard
+#: Signature values (of HASHES, compared by 4 bits each) that must agree for a check of the full sets: over five standard
 #: deviations under what a pair at the link threshold shows.
-AGREE = 34
+AGREE = 30
 #: Candidates of a node that are checked first.
 FIRST = 6
 #: Nodes of a block in the exact pass over crowded regions.
@@ -205,10 +205,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def stragglers(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For crowded regions (over NEIGHBOURS + 1 nodes alike in all DEPTH values of a tree): (main, id), a region's main component (most
-    members, then least root) and the members outside it; and (main, id) of all that they have to meet: the main components' nodes and
-    the stragglers themselves."""
-    at = ["tree", "hi", "lo"]
+    """For crowded regions (over NEIGHBOURS + 1 nodes alike in hi, the values that candidates must share): (main, id), a region's main
+    component (most members, then least root) and the members outside it; and (main, id) of all that they have to meet: the main
+    components' nodes and the stragglers themselves."""
+    at = ["tree", "hi"]
     regions = staged(trees.groupBy(*at).agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1).select(*at))
     members = trees.select(*at, "id").join(regions, at).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     members = staged(members)

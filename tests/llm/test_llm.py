@@ -100,6 +100,32 @@ def test_crowded_regions_lose_no_link(spark):
     assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
+def test_regions_crowded_at_half_depth_lose_no_link(spark):
+    """Pages of one template, pairwise under the threshold, and a true pair with nothing in common but the template."""
+    rng = random.Random(3)
+    base = words(rng, 200, 10**6).split()
+
+    def edited(n):
+        w = list(base)
+        for at in rng.sample(range(2, 198, 5), n):
+            w[at] = f"y{rng.randrange(10**9)}"
+        return w
+
+    def drawn(w):
+        s = minhash.shingle_set(" ".join(w).encode(), minhash.SHINGLE)
+        return s, minhash.signature(s).reshape(minhash.TREES, minhash.DEPTH)
+
+    texts = [edited(7) for _ in range(1000)]
+    while len(texts) < 1002:
+        (a, p), (b, q) = drawn(x := edited(3)), drawn(y := edited(2))
+        alike, both = p == q, minhash.common(a, b)
+        if alike[:, :2].all(axis=1).any() and not alike.all(axis=1).any() and 100 * both >= minhash.LINK * (len(a) + len(b) - both):
+            texts += [x, y]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got[1000] == got[1001] and len(set(got.values())) > 900
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 99), (99, 99), (100, 99)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {**dict.fromkeys(range(31), 0), 99: 99, 100: 99}
