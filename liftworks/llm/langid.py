@@ -13,14 +13,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftworks.llm.common import small_batches, staged, table, utf8
 
 BUCKETS = 1 << 15
-#: Languages at most: bounds the model (MAX_LANGUAGES x BUCKETS counts); the most frequent are taken.
-MAX_LANGUAGES = 64
+#: Every language present is taken. The model (languages x BUCKETS numbers) is held by the driver and each worker; with more
+#: languages than this (256 MiB) the query fails rather than leave some out.
+MOST_LANGUAGES = 1024
+#: 3-grams of a page looked up at once.
+LOOKED_UP = 4096
 #: 3-grams of a page count as at most this many independent pieces of evidence.
 EVIDENCE = 30.0
 #: Pages' worth of the level above in a suffix's and a host's prior, and of uniform declarations.
@@ -44,7 +47,9 @@ def visible(page: str) -> str:
 
 
 def languages(documents: DataFrame) -> list[str]:
-    rows = documents.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = documents.where("lang IS NOT NULL").select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"documents.lang holds more than {MOST_LANGUAGES} languages; none may be left out, and the model of all does not fit")
     return sorted(r["lang"] for r in rows)
 
 
@@ -54,13 +59,15 @@ def likelihoods(documents: DataFrame, langs: list[str]) -> np.ndarray:
     at = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
-        n = np.zeros((len(langs), BUCKETS), np.int64)
+        n: dict[int, np.ndarray] = {}
         for b in batches:
             for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if x in at:
-                    n[at[x]] += np.bincount(grams(t.decode("utf-8", "replace")), minlength=BUCKETS)
-        k, g = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(n[k, g])], ["k", "g", "n"])
+                    own = n.setdefault(at[x], np.zeros(BUCKETS, np.int64))
+                    own += np.bincount(grams(t.decode("utf-8", "replace")), minlength=BUCKETS)
+        for k, own in n.items():
+            g = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g, pa.int32()), pa.array(own[g])], ["k", "g", "n"])
 
     rows = documents.select("lang", utf8()).mapInArrow(run, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((len(langs), BUCKETS))
@@ -70,63 +77,66 @@ def likelihoods(documents: DataFrame, langs: list[str]) -> np.ndarray:
 
 
 def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """page_id, host, suffix, declared and, for each language k, t<k>: its tempered text posterior under equal priors."""
+    """page_id, host, suffix, declared and t: for each language, its tempered text posterior under equal priors."""
     small_batches(pages.sparkSession)
     table_ = np.ascontiguousarray(model.T)
-    names = [f"t{k}" for k in range(len(langs))]
 
     def run(batches):
         for b in batches:
             rows = []
             for h in b.column("html").to_pylist():
                 g = grams(visible(h.decode("utf-8", "replace")))
-                s = table_[g].mean(axis=0) * min(EVIDENCE, len(g)) if len(g) else np.zeros(len(langs))
+                s = np.zeros(len(langs))
+                for i in range(0, len(g), LOOKED_UP):
+                    s += table_[g[i : i + LOOKED_UP]].sum(axis=0)
+                if len(g):
+                    s *= min(EVIDENCE, len(g)) / len(g)
                 s = np.exp(s - s.max())
                 rows.append(s / s.sum())
-            cols = np.array(rows).reshape(len(rows), len(langs)).T
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "declared")), *(pa.array(c) for c in cols)], ["page_id", "host", "declared", *names])
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(langs))
+            t = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows) if rows else np.empty(0)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "declared")), t], ["page_id", "host", "declared", "t"])
 
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
     lang = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), lang.alias("declared"), utf8("html"))
-    return rows.mapInArrow(run, "page_id long, host string, declared string, " + ", ".join(f"{n} double" for n in names)).withColumn("suffix", F.substring_index("host", ".", -1))
+    return rows.mapInArrow(run, "page_id long, host string, declared string, t array<double>").withColumn("suffix", F.substring_index("host", ".", -1))
 
 
 def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     """page_id, host, suffix, declared, text_lang, lang and its posterior confidence.
 
     A page without text, declaration or host rests on what evidence it has; ties go to the first language by name."""
-    ks = range(len(langs))
-    by_declared = {d: [F.sum(F.when(F.col("declared") == d, F.col(f"t{k}")).otherwise(0.0)) for k in ks] for d in [*langs, "other", ""]}
-    known = F.col("declared").isin(*langs, "")
-    evidence = evidence.withColumn("declared", F.when(known, F.col("declared")).otherwise("other"))
-    totals = evidence.agg(*[F.sum(f"t{k}").alias(f"a{k}") for k in ks], *[c.alias(f"d_{d}_{k}") for d, cs in by_declared.items() for k, c in zip(ks, cs, strict=True)]).first().asDict()  # one row
-    every = [(totals[f"a{k}"] or 0.0) + 1.0 for k in ks]
-    share = [x / sum(every) for x in every]
-    suffixes = staged(evidence.groupBy("suffix").agg(*[F.sum(f"t{k}").alias(f"s{k}") for k in ks]))
-    hosts = staged(evidence.groupBy("host").agg(*[F.sum(f"t{k}").alias(f"h{k}") for k in ks]))
-    rows = evidence.join(hosts, "host").join(suffixes, "suffix")
-    own = [F.col(f"t{k}") for k in ks]
-    s = [F.greatest(F.col(f"s{k}") - own[k], F.lit(0.0)) + SMOOTH * share[k] for k in ks]
-    s_all = sum(s[1:], s[0])
-    h = [F.greatest(F.col(f"h{k}") - own[k], F.lit(0.0)) + SMOOTH * s[k] / s_all for k in ks]
-    h_all = sum(h[1:], h[0])
-
-    def says(k: int):
-        """P(declaration | language k); the empty declaration says nothing."""
-        kinds = [d for d in by_declared if d]
-        n = sum((totals[f"d_{d}_{k}"] or 0.0) + DECLARED_SMOOTH for d in kinds)
-        out = F.lit(1.0)
-        for d in kinds:
-            out = F.when(F.col("declared") == d, F.lit(((totals[f"d_{d}_{k}"] or 0.0) + DECLARED_SMOOTH) / n)).otherwise(out)
-        return out
-
-    post = [own[k] * says(k) * (h[k] / h_all) for k in ks]
-    rows = rows.select("page_id", "host", "suffix", "declared", F.array(*own).alias("_t"), F.array(*post).alias("_p"))
-    names = F.array(*[F.lit(x) for x in langs])
+    evidence = evidence.withColumn("declared", F.when(F.col("declared").isin(*langs, ""), F.col("declared")).otherwise("other"))
+    sums = F.array(*[F.sum(F.get("t", F.lit(k))) for k in range(len(langs))])
+    totals = {r["declared"]: np.array(r["d"]) for r in evidence.groupBy("declared").agg(sums.alias("d")).collect()}  # at most a row per language and two
+    every = sum(totals.values(), np.zeros(len(langs))) + 1.0
+    share = F.lit([float(x) for x in every / every.sum()])
+    # P(declaration | language); the empty declaration says nothing.
+    kinds = sorted({*langs, "other"} - {""})
+    said = np.array([totals.get(d, np.zeros(len(langs))) + DECLARED_SMOOTH for d in kinds])
+    said = {**dict(zip(kinds, said / said.sum(axis=0), strict=True)), "": np.ones(len(langs))}
+    says = evidence.sparkSession.createDataFrame([(d, p.tolist()) for d, p in said.items()], "declared string, says array<double>")
+    suffixes = staged(evidence.groupBy("suffix").agg(sums.alias("s")))
+    hosts = staged(evidence.groupBy("host").agg(sums.alias("h")))
+    rows = evidence.join(hosts, "host").join(suffixes, "suffix").join(F.broadcast(says), "declared")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    times = lambda x, y: F.zip_with(x, y, lambda a, b: a * b)
+
+    def prior(sums: str, above: Column) -> Column:
+        """What the others of the group say, smoothed towards the level above."""
+        others = F.zip_with(sums, "t", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        return F.zip_with(others, above, lambda a, b: a + SMOOTH * b)
+
+    def shares(name: str) -> Column:
+        return F.transform(name, lambda x: x / F.col("_all"))
+
+    rows = rows.withColumn("_s", prior("s", share)).withColumn("_all", total("_s")).withColumn("_s", shares("_s"))
+    rows = rows.withColumn("_h", prior("h", F.col("_s"))).withColumn("_all", total("_h")).withColumn("_h", shares("_h"))
+    rows = rows.select("page_id", "host", "suffix", "declared", F.col("t").alias("_t"), times(times("t", "says"), "_h").alias("_p"))
+    names = F.lit(langs)
     best = lambda c: F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int"))
-    total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("page_id", "host", "suffix", "declared", best("_t").alias("text_lang"), best("_p").alias("lang"), F.try_divide(F.array_max("_p"), total).alias("confidence"))
+    return rows.select("page_id", "host", "suffix", "declared", best("_t").alias("text_lang"), best("_p").alias("lang"), F.try_divide(F.array_max("_p"), total("_p")).alias("confidence"))
 
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:

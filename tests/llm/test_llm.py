@@ -263,6 +263,18 @@ def test_language_fuses_evidence(spark, empty):
     assert langid.identify(p, docs.limit(0)).count() == 23 and langid.identify(p.limit(0), docs).count() == 0
 
 
+def test_language_takes_every_language(spark):
+    """More languages than any fixed small number, each with words of its own, the last one the rarest."""
+    rng = random.Random(9)
+    words_of = {f"{a}{b}": [f"{a}{b}{rng.choice('aeiou')}{rng.choice('klmnr')}{b}{a}" for _ in range(30)] for a in "qwxyzjkv" for b in "bcdfghlmn"}
+    text = lambda x: " ".join(rng.choices(words_of[x], k=40))
+    names = list(words_of)
+    docs = spark.createDataFrame([(k, text(x), x) for k, x in enumerate(names + names[:-5])], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(k, f"http://h{k}.example.com/", f"<p>{text(x)}</p>") for k, x in enumerate(names)], "page_id long, url string, html string")
+    assert len(names) > 64
+    assert {r["page_id"]: r["lang"] for r in langid.identify(pages, docs).collect()} == dict(enumerate(names))
+
+
 def test_packing(docs, rows, empty):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
