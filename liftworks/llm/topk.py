@@ -21,15 +21,32 @@ K, QUERY_STEP = 5, 50
 SHARD, BLOCK = 512, 1024
 #: Terms probed between two looks at who is still competitive.
 PROBE = 8
+#: Sums of products below this are exact in float64, with the bounds added to them on the way; others are taken in whole numbers.
+EXACT = 2.0**50
 
 
 def whole(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, each component floor(256 x) as long; vectors that are null, empty or hold null or non-finite components are left out."""
-    x = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")))
-    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < 1e15))
+    """vec_id and v, each component floor(256 x) as long; vectors that are null, empty or hold null or non-finite components are left out.
+
+    A finite component too large for a long fails the query."""
+    scaled = lambda c: F.lit(256.0) * c.cast("double")
+    large = F.raise_error(F.lit("topk: 256 times a component does not fit a long")).cast("long")
+    x = F.transform("embedding", lambda c: F.when(F.abs(scaled(c)) < 2.0**63, F.floor(scaled(c))).otherwise(large))
+    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).where("vec_id IS NOT NULL")
 
 
+def best_of_large(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """As best_in_shard, for scores past the exact range of float64: all of them, in whole numbers of any size."""
+    vectors, out = vectors.astype(object), []
+    for q, w in zip(query_ids.tolist(), queries.astype(object), strict=True):
+        top = sorted((-s, i) for i, s in zip(ids.tolist(), vectors @ w, strict=True) if i != q)[:k]
+        if any(abs(s) >= 1 << 63 for s, _ in top):
+            raise OverflowError(f"topk: a score of query {q} does not fit a long")
+        out += [(q, i, -s) for s, i in top]
+    return out
+
+
 def best_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
     """(query id, vec id, score) of each query's k best vectors of the shard, the query's own left out, ties to smaller ids.
 
@@ -80,10 +97,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         c = t.column("v").combine_chunks()
-        return t.column("vec_id").to_numpy(), c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+        return t.column("vec_id").to_numpy(), c.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
+    def best_rows(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
+        v, w = vectors.astype(np.float64), queries.astype(np.float64)
+        if np.abs(v).max(axis=0) @ np.abs(w).max(axis=0) < EXACT:
+            return best_in_shard(ids, v, query_ids, w, k)
+        return best_of_large(ids, vectors, query_ids, queries, k)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = best_in_shard(*read(left), *read(right), k) if len(left) and len(right) else []
+        rows = best_rows(*read(left), *read(right)) if len(left) and len(right) else []
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 

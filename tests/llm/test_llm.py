@@ -164,6 +164,18 @@ def test_topk_against_brute_force(spark):
     assert topk.search(few, few).count() == 6
 
 
+def test_topk_keeps_large_components(spark):
+    data = [(0, [3 / 256, 1.0]), (1, [2e15, 1.0]), (2, [2e15, 2.0]), (3, [-5e15, 1.0]), (4, [1.0, 1.0])]
+    df = topk.whole(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in topk.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    want = [(i, sum(int(256 * x) * int(256 * y) for x, y in zip(v, data[0][1], strict=True))) for i, v in data[1:]]
+    assert got == sorted(want, key=lambda r: (-r[1], r[0]))
+    for bad in ([(0, [1e17]), (1, [1.0])], [(0, [1e15]), (1, [1e15])]):
+        df = topk.whole(spark.createDataFrame(bad, "vec_id long, embedding array<double>"))
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.search(df, df).collect()
+
+
 def test_toxicity_parts_classes(spark, empty):
     rng = random.Random(2)
     text = lambda bad: " ".join(("dreadful" if bad and rng.random() < 0.05 else f"{rng.choice('abcdefgh')}{rng.choice(['ing', 'ed', 'tion'])}{rng.randrange(60)}") for _ in range(200))
