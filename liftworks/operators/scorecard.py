@@ -10,7 +10,7 @@ from liftworks.operators import contact, effect, spend, vintage
 
 
 def consolidated(df: DataFrame) -> DataFrame:
-    """Action rows at four grains against the campaign and cohort's control (not a matched report group), contacts, value.
+    """Action rows at four grains against the campaign and cohort's control (not a matched report group), clients, value.
 
     Grains: campaign; campaign and cohort; campaign and report group; campaign, cohort and report group."""
     sets = [("campaign",), ("campaign", "cohort"), ("campaign", "report_group"), ("campaign", "cohort", "report_group")]
