@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftworks.llm.common import staged
+from liftworks.llm.common import staged, temporaries
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -45,11 +45,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated or reversed pairs do not matter; no edges give no rows. The edges stay spread over the cluster; only the
     number of them and a checksum, which stop changing at the end, reach the driver."""
-    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, last = staged(edges.mapInArrow(_contracted, edges.schema).distinct()), None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == last or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        last = now
-        edges = staged(_star(_star(edges, True), False))
+    with temporaries():
+        edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges, last = staged(edges.mapInArrow(_contracted, edges.schema).distinct()), None
+        while True:
+            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == last or not now[0]:
+                return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), keep=True)
+            last = now
+            edges = staged(_star(_star(edges, True), False))

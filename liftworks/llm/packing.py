@@ -24,6 +24,8 @@ from liftworks.llm.common import CACHE_WORDS, small_batches, staged, table
 CAPACITY = 2048
 #: Pieces of one length that are ranked in one task.
 RANK_CHUNK = 500
+#: Rows of a plan for each unit of capacity, at most: what is broadcast stays within it (checked).
+PLAN_ROWS = 64
 
 
 def tokenizer_path() -> str:
@@ -35,6 +37,8 @@ def tokenizer_path() -> str:
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257 and so on, in order.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
+#: Letters from here on go through the whole tokenizer, whose tables may be of another Unicode version than Python's.
+_PLAIN_LETTERS = "\u0530"
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
@@ -73,10 +77,9 @@ class Encoder(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         stem = word.rstrip(_MARKS)
-        if stem != word and stem.isalpha() and len(word) <= 100:
-            raw = self[stem] + self[word[len(stem) :]]
-        elif word.isalpha() and len(word) <= 100 and "\u03a3" not in word and unicodedata.is_normalized("NFC", word) and (low := word.lower()).isalpha():
-            raw = self._stem(low)
+        # Letters whose lower case is letters too, in normal form: only then do letters and marks stay apart in the tokenizer.
+        if stem and len(word) <= 100 and stem.isalpha() and max(stem) < _PLAIN_LETTERS and unicodedata.is_normalized("NFC", stem) and (low := stem.lower()).isalpha() and "\u03a3" not in stem:
+            raw = self._stem(low) + (self[word[len(stem) :]] if stem != word else b"")
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             raw = struct.pack(f"<{len(ids)}I", *ids)
@@ -89,7 +92,10 @@ class Encoder(dict):
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's ids (a final id 0 each; null text: empty)."""
+    """doc_id, piece, start, length, ids_crc32 of every document's ids (a final id 0 each; null text: empty).
+
+    Very long texts are cut into pieces like all others, a text at a time in memory; a null doc_id stays null; repeated rows are cut each;
+    other columns play no part; an empty table gives none."""
     small_batches(documents.sparkSession)
     definition = Path(path or tokenizer_path()).read_text()  # on the driver; its text goes to the tasks
 
@@ -162,12 +168,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. Repeated rows are pieces each of their own; an empty table gives none."""
+    """The pieces with sequence_id and offset. Repeated rows are pieces each of their own, null ids among them; ties in length go by
+    doc_id (nulls first), piece and start; an empty table gives none."""
     spark = cut.sparkSession
     cut = staged(cut)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity)
-    # The plan's size depends on the capacity alone: broadcasting it is safe.
+    # The plan's size depends on the capacity alone, whatever the corpus: broadcasting it is safe.
+    if len(histogram) > capacity or len(rows) > PLAN_ROWS * capacity:
+        raise ValueError(f"packing: a plan of {len(rows)} rows for {len(histogram)} lengths of at most {capacity}")
     steps = spark.createDataFrame([(a, lo, hi, f, e, o) for a, lo, hi, f, e, o in rows], "length long, lo long, hi long, first long, each long, at long")
     sizes = spark.createDataFrame([(n, 1 + c // RANK_CHUNK) for n, c in histogram.items()], "length long, chunks long")
     ranked = cut.join(F.broadcast(sizes), "length").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "chunks"))
@@ -181,4 +190,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(pieces(table(spark, sf_dir, "documents")))
