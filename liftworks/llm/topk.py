@@ -1,10 +1,10 @@
 """Exact top-k search by inner product, MaxScore over vectors of whole numbers.
 
-A query's dimensions are its terms. In a shard, a term's score bound is the most that it can add over the shard's own least
-contribution, so every term adds between nothing and its bound. Terms are ordered by bound; from the last ones on, those whose
-bounds together cannot lift a vector over the query's k-th best score so far are non-essential. Essential terms are scored for
-the whole shard, the others are probed in turn only for vectors that stay competitive. Shards and query blocks meet by key, and
-the shards' best rows are merged by Spark.
+A query's dimensions are its terms. In a stretch of a shard, a term adds at least its least contribution and at most its bound more.
+Terms are ordered by bound. The last ones whose bounds together cannot lift a vector to the query's k-th best score so far, theta,
+are non-essential: the essential ones are traversed for all vectors of the stretch, the others probed in turn, only for vectors that
+stay competitive. theta starts with the k-th best score among a small seed of vectors, rises from stretch to stretch, and moves the
+essential line with it. Shards and query blocks meet by key, and the shards' best rows are merged by Spark.
 """
 
 from __future__ import annotations
@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 from liftworks.llm.common import small_batches, table
 
 K, QUERY_STEP = 5, 50
-#: Vectors of a shard and queries of a block, on average: they bound what a task holds.
-SHARD, BLOCK = 512, 1024
-#: Terms probed between two looks at who is still competitive.
-PROBE = 8
-#: Sums of products below this are exact in float64, with the bounds added to them on the way; others are taken in whole numbers.
-EXACT = 2.0**50
+#: Components (of 8 bytes) of a shard's vectors and of a query block, at most: they bound what a task holds. Where there is less,
+#: shards have LEAST vectors at least and are as many as SPREAD x the cores.
+SHARD, BLOCK, LEAST, SPREAD = 1 << 22, 1 << 20, 2048, 2
+#: Vectors of a shard gone through before theta is raised, terms probed between two looks at who is still competitive, and components
+#: of the seed that gives the first theta.
+STRETCH, PROBE, SEED = 4096, 8, 1 << 15
+#: Sums of products below these are exact in float64 and in int64, with the bounds added to them on the way; beyond, Python's whole numbers.
+EXACT, LONG = 2.0**50, 2.0**60
 
 
 def whole(vectors: DataFrame) -> DataFrame:
     """vec_id and v, each component floor(256 x) as long; vectors that are null, empty or hold null or non-finite components are left out.
 
-    A finite component too large for a long fails the query."""
+    A finite component too large for a long fails the query. Rows without a vec_id are left out; other columns play no part."""
     scaled = lambda c: F.lit(256.0) * c.cast("double")
     large = F.raise_error(F.lit("topk: 256 times a component does not fit a long")).cast("long")
     x = F.transform("embedding", lambda c: F.when(F.abs(scaled(c)) < 2.0**63, F.floor(scaled(c))).otherwise(large))
@@ -36,77 +38,120 @@ def whole(vectors: DataFrame) -> DataFrame:
     return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).where("vec_id IS NOT NULL")
 
 
-def best_of_large(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """As best_in_shard, for scores past the exact range of float64: all of them, in whole numbers of any size."""
-    vectors, out = vectors.astype(object), []
-    for q, w in zip(query_ids.tolist(), queries.astype(object), strict=True):
-        top = sorted((-s, i) for i, s in zip(ids.tolist(), vectors @ w, strict=True) if i != q)[:k]
-        if any(abs(s) >= 1 << 63 for s, _ in top):
-            raise OverflowError(f"topk: a score of query {q} does not fit a long")
-        out += [(q, i, -s) for s, i in top]
-    return out
-
-
-def best_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query id, vec id, score) of each query's k best vectors of the shard, the query's own left out, ties to smaller ids.
-
-    Rows alike in id are rows each of their own."""
-    lo, hi = vectors.min(axis=0), vectors.max(axis=0)
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    columns = np.ascontiguousarray(vectors.T)
-    out = []
-    for q, w in zip(query_ids.tolist(), queries, strict=True):
-        least = np.minimum(w * lo, w * hi)
-        bound = np.maximum(w * lo, w * hi) - least
-        terms = np.argsort(-bound, kind="stable")
-        left = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])  # what the terms from here on can still add
-        rows = np.flatnonzero(ids != q)
-        score = np.full(len(rows), least.sum())
-        # A first threshold: the exact scores of the vectors that lead on the strongest terms.
-        head = terms[:PROBE]
-        score += w[head] @ columns[head][:, rows] - least[head].sum()
-        at = len(head)
-        theta = None
-        if len(rows) > k:
-            lead = np.argpartition(-score, k - 1)[:k]
-            theta = (vectors[rows[lead]] @ w).min()
-        while at < len(terms) and len(rows):
-            if theta is not None:
-                keep = score + left[at] >= theta
-                if not keep.all():
-                    rows, score = rows[keep], score[keep]
-            some = terms[at : at + PROBE]
-            score = score + w[some] @ columns[np.ix_(some, rows)] - least[some].sum()
-            at += len(some)
-        top = np.lexsort((ids[rows], -score))[:k]
-        out += [(q, int(ids[rows[i]]), int(score[i])) for i in top]
-    return out
+def in_exact_numbers(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as float64, int64 or Python's whole numbers: the first kind in which every sum on the way is exact."""
+    size = lambda x: np.abs(x.astype(np.float64)).max(axis=0)
+    peak = float(size(vectors) @ size(queries))
+    kind = np.float64 if peak < EXACT else np.int64 if peak < LONG else object
+    return vectors.astype(kind), queries.astype(kind)
+
+
+def leading(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to smaller ids."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
+    if len(ids) > 4 * k:
+        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        return some[np.lexsort((ids[some], -score[some]))[:k]]
+    return np.lexsort((ids, -score))[:k]
+
+
+class Shard:
+    """Vectors in stretches, each with its terms' least and largest values."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.stretches = []
+        for at in range(0, len(ids), STRETCH):
+            v = vectors[at : at + STRETCH]
+            self.stretches.append((ids[at : at + STRETCH], np.ascontiguousarray(v.T), v.min(axis=0), v.max(axis=0)))
+
+    def best(self, q: int, w: np.ndarray, theta, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the query's k best vectors of the shard, its own id left out; those under theta (if any) may lack."""
+        top_ids, top = np.empty(0, np.int64), np.empty(0, w.dtype)
+        for ids, columns, lo, hi in self.stretches:
+            at_lo, at_hi = w * lo, w * hi
+            least = np.minimum(at_lo, at_hi)
+            bound = np.maximum(at_lo, at_hi) - least
+            terms = np.argsort(-bound, kind="stable")
+            left = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], np.zeros(1, w.dtype)])  # what the terms from here on can still add
+            base = least.sum()
+            essential = len(terms) if theta is None else int((base + left >= theta).sum())
+            if not essential:
+                continue  # all terms together do not reach theta
+            some = terms[:essential]
+            score, rows = base - least[some].sum() + w[some] @ columns[some], None
+            for at in range(essential, len(terms) + PROBE, PROBE):
+                if theta is not None:
+                    keep = np.flatnonzero(score + left[min(at, len(terms))] >= theta)
+                    rows, score = keep if rows is None else rows[keep], score[keep]
+                some = terms[at : at + PROBE]
+                if not len(score) or not len(some):
+                    break
+                score = score - least[some].sum() + w[some] @ (columns[some] if rows is None else columns[np.ix_(some, rows)])
+            found = ids if rows is None else ids[rows]
+            other = found != q
+            top_ids, top = np.concatenate([top_ids, found[other]]), np.concatenate([top, score[other]])
+            first = leading(top_ids, top, k)
+            top_ids, top = top_ids[first], top[first]
+            if len(top) == k and (theta is None or top[-1] > theta):
+                theta = top[-1]
+        return top_ids, top
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best of all other vectors (all, if fewer), ties to the smaller vec_id.
 
-    Both frames hold vec_id and v (arrays of long, of one length). No queries or no vectors give no rows."""
-    small_batches(vectors.sparkSession)
-    n, m = vectors.count(), queries.count()
-    shards, blocks = 1 + n // SHARD, 1 + m // BLOCK
-    part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    v = vectors.select("vec_id", "v", part(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.select("vec_id", "v", part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        c = t.column("v").combine_chunks()
-        return t.column("vec_id").to_numpy(), c.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-
-    def best_rows(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
-        v, w = vectors.astype(np.float64), queries.astype(np.float64)
-        if np.abs(v).max(axis=0) @ np.abs(w).max(axis=0) < EXACT:
-            return best_in_shard(ids, v, query_ids, w, k)
-        return best_of_large(ids, vectors, query_ids, queries, k)
+    Both frames hold vec_id and v (arrays of long without nulls, as `whole` makes them); rows where either is null take no part, nor do
+    other columns. Shorter vectors count as zero beyond their end. Rows
+    alike in vec_id are candidates each of their own; as queries they share one list and leave out all of that id. No queries or no
+    vectors give no rows. A score that does not fit a long is an error."""
+    spark = vectors.sparkSession
+    small_batches(spark)
+    vectors, queries = (x.select("vec_id", "v").where("vec_id IS NOT NULL AND v IS NOT NULL") for x in (vectors, queries))
+    n, d = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    m, e = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    width = max(d, e, 1)
+    shards = max(-(-n * width // SHARD), min(SPREAD * spark.sparkContext.defaultParallelism, n // LEAST), 1)
+    blocks = max(-(-m * width // BLOCK), 1)
+
+    def padded(rows: pa.ChunkedArray) -> np.ndarray:
+        c = rows.combine_chunks()
+        flat, ends = c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if (ends == width).all():
+            return flat.reshape(len(ends), width)
+        out = np.zeros((len(ends), width), np.int64)
+        out[np.arange(width) < ends[:, None]] = flat
+        return out
+
+    def thresholds(seed_ids: np.ndarray, seed: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> list[int | None]:
+        """k-th best score of each query among the seed."""
+        v, w = in_exact_numbers(seed, queries)
+        out = []
+        for q, x in zip(query_ids, w, strict=True):
+            s = np.sort((v @ x)[seed_ids != q])
+            out.append(int(s[-k]) if len(s) >= k else None)
+        return out
+
+    # At most SEED components: those with the least hashes reach the driver and go to the tasks.
+    chosen = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(2 * k, SEED // width)).toArrow()
+    seed_ids, seed = chosen.column("vec_id").to_numpy(), padded(chosen.column("v"))
+
+    part = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
+    v = vectors.select("*", part(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    q = queries.select("*", part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = best_rows(*read(left), *read(right)) if len(left) and len(right) else []
+        rows = []
+        if len(left) and len(right):
+            ids, query_ids, queries = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy(), padded(right.column("v"))
+            first = thresholds(seed_ids, seed, query_ids, queries) if len(seed_ids) else [None] * len(query_ids)
+            vectors, queries = in_exact_numbers(padded(left.column("v")), queries)
+            shard = Shard(ids, vectors)
+            for q, w, theta in zip(query_ids.tolist(), queries, first, strict=True):
+                for i, s in zip(*shard.best(q, w, theta, k), strict=True):
+                    if abs(s) >= 1 << 63:
+                        raise OverflowError(f"topk: a score of query {q} does not fit a long")
+                    rows.append((q, int(i), int(s)))
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
@@ -116,6 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of every embedding whose vec_id is divisible by 50: query_id, rank, vec_id, score."""
     vectors = whole(table(spark, sf_dir, "embeddings"))
     return search(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0))
 
