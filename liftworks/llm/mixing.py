@@ -11,6 +11,8 @@ their own place; an empty table or one without words has targets 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ SHARE, MOST = 1.5, 2
 LEAST_BLOCK, SLOTS = 64, 1 << 20
 #: Slots ranked in one task, and cells of [0, 1) by which slots find their source.
 CHUNK, CELLS = 1024, 4096
+#: Documents of a part of a source's shuffled order, about, and hexadecimal digits of their hash that make a part, at least and at most.
+PART, DIGITS = 1024, (3, 7)
+#: Sources whose targets are worked out in one task, at most: beyond it the mix fails rather than slow down unseen.
+MOST_SOURCES = 1_000_000
 
 
 def _key() -> Column:
@@ -41,7 +47,7 @@ def sized(documents: DataFrame) -> DataFrame:
 
 def targets(sizes: DataFrame) -> DataFrame:
     """One row per source: key, index, source_size, target (double), words (rounded target), lo and hi (its share of [0, 1)), total."""
-    rows = sizes.groupBy(_key().alias("key"), "source").agg(F.sum("size").alias("source_size"))
+    rows = sizes.groupBy(_key().alias("key"), "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     rows = rows.withColumn("index", F.row_number().over(order))
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.col("index") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("long")
@@ -60,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     rows = rows.withColumn("hi_words", hi).withColumn("total", F.sum("words").over(every))
     part = lambda c: F.coalesce(F.try_divide(c.cast("double"), F.col("total").cast("double")), F.lit(0.0))
     block = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("total") / F.lit(float(SLOTS)))).cast("long")
-    return rows.select("key", "source", "index", "source_size", "target", "words", part(F.col("hi_words") - F.col("words")).alias("lo"), part(F.col("hi_words")).alias("hi"), "total", block.alias("block"))
+    return rows.select("key", "source", "index", "source_size", "target", "words", part(F.col("hi_words") - F.col("words")).alias("lo"), part(F.col("hi_words")).alias("hi"), "total", block.alias("block"), "rows")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -82,9 +88,13 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Each document with its place in its source's shuffled order: the running sum of sizes, by parts of a hashed order."""
+    n, most = sources.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()  # two numbers
+    if n > MOST_SOURCES:
+        raise ValueError(f"mixing: {n} sources, more than {MOST_SOURCES}")
+    digits = min(DIGITS[1], max(DIGITS[0], math.ceil(math.log(max(most, 1) / PART, 16))))  # parts keep about their size; the order stays the same
     rows = sizes.withColumn("key", _key()).join(sources.select("key", "index", "source_size", "target", "block"), "key")
-    rows = rows.withColumn("h", _seed()).withColumn("part", F.substring("h", 1, 3))
-    parts = sizes.groupBy(_key().alias("key"), F.substring(_seed(), 1, 3).alias("part")).agg(F.sum("size").alias("n"))
+    rows = rows.withColumn("h", _seed()).withColumn("part", F.substring("h", 1, digits))
+    parts = sizes.groupBy(_key().alias("key"), F.substring(_seed(), 1, digits).alias("part")).agg(F.sum("size").alias("n"))
     base = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -110,25 +120,29 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: doc_id, size, source_size, target, taken."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(documents: DataFrame) -> DataFrame:
     """The mix as documents, in their own columns: a document stands once for each time its words are taken, the last copy cut after
-    its last taken word; what is not taken is left out. Rows alike in id, source and text are one row that takes the sum."""
-    takes = mix(documents).groupBy("doc_id", "source", "size", "tie").agg(F.sum("taken").alias("_taken")).where("_taken > 0")
-    names = documents.columns
-    d = documents.withColumn("_tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).dropDuplicates(["doc_id", "source", "_tie"]).alias("d")
+    its last taken word; what is not taken is left out. Rows alike in id, source and text are one row that takes the sum.
+
+    Null and empty texts take nothing and are left out. Columns of any name are carried along."""
+    takes = mix(documents).groupBy("doc_id", "source", "size", "tie").agg(F.sum("taken").alias("taken")).where("taken > 0")
+    # The documents' own columns go along in one struct: no name of theirs can clash.
+    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), "doc_id", F.col("source").cast("string").alias("source"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
+    d = d.dropDuplicates(["doc_id", "source", "tie"]).alias("a")
     t = takes.alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._tie") == F.col("t.tie")) & F.col("d.source").cast("string").eqNullSafe(F.col("t.source"))
-    rows = d.join(t, same).select(*[F.col(f"d.`{n}`").alias(n) for n in names], "_taken", "size")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("size")))))
-    words = F.least(F.col("size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words), "")
-    rows = rows.withColumn("text", F.when(words < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return rows.select(*names)
+    same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.tie") == F.col("t.tie")) & F.col("a.source").eqNullSafe(F.col("t.source"))
+    rows = d.join(t, same).select("d", "taken", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))).alias("copy"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words), "")
+    rows = rows.select("d", F.when(words < F.col("size"), cut).otherwise(F.col("d.text")).alias("text"))
+    own = {"text": F.col("text")}
+    if "n_chars" in documents.columns:
+        own["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[own.get(c, F.col("d").getField(c)).alias(c) for c in documents.columns])
 
 
 SQL = rf"""
