@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +24,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def _contracted(batches):
-    """The links of one task, each node linked to the least node that it reaches by them."""
-    up: dict = {}
+def contracted(up: dict, links: Iterable[tuple[int, int]]) -> None:
+    """Takes links into a forest: up gives each node that is no root the least node that it reaches."""
 
     def root(x):
         while (y := up.get(x, x)) != x:
             up[x] = x = up.get(y, y)
         return x
 
+    for a, b in links:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    for x in list(up):
+        up[x] = root(x)
+
+
+def _contracted(batches):
+    """The links of one task, each node linked to the least node that it reaches by them."""
+    up: dict = {}
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    pairs = [(x, root(x)) for x in list(up) if root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        contracted(up, zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (up.keys(), up.values())], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ MOST_LANGUAGES = 1024
 LOOKED_UP = 4096
 #: 3-grams of a page count as at most this many independent pieces of evidence.
 EVIDENCE = 30.0
+#: A host with more than this share of all pages is dealt out: there are no more such hosts than its inverse, and each takes as many parts.
+HOT = 1 / 1000
 #: Pages' worth of the level above in a suffix's and a host's prior, and of uniform declarations.
 SMOOTH, DECLARED_SMOOTH = 5.0, 1.0
 _DROP = re.compile(r"<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -61,10 +63,12 @@ def likelihoods(documents: DataFrame, langs: list[str]) -> np.ndarray:
     def run(batches):
         n: dict[int, np.ndarray] = {}
         for b in batches:
+            found: dict[int, list[np.ndarray]] = {}
             for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if x in at:
-                    own = n.setdefault(at[x], np.zeros(BUCKETS, np.int64))
-                    own += np.bincount(grams(t.decode("utf-8", "replace")), minlength=BUCKETS)
+                    found.setdefault(at[x], []).append(grams(t.decode("utf-8", "replace")))
+            for k, own in found.items():
+                n[k] = n.get(k, 0) + np.bincount(np.concatenate(own), minlength=BUCKETS)
         for k, own in n.items():
             g = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g, pa.int32()), pa.array(own[g])], ["k", "g", "n"])
@@ -106,7 +110,8 @@ def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> Data
 def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     """page_id, host, suffix, declared, text_lang, lang and its posterior confidence.
 
-    A page without text, declaration or host rests on what evidence it has; ties go to the first language by name."""
+    A page without text, declaration or host rests on what evidence it has (pages without a host count as one host); ties go to the first
+    language by name."""
     evidence = evidence.withColumn("declared", F.when(F.col("declared").isin(*langs, ""), F.col("declared")).otherwise("other"))
     sums = F.array(*[F.sum(F.get("t", F.lit(k))) for k in range(len(langs))])
     totals = {r["declared"]: np.array(r["d"]) for r in evidence.groupBy("declared").agg(sums.alias("d")).collect()}  # at most a row per language and two
@@ -118,8 +123,14 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     said = {**dict(zip(kinds, said / said.sum(axis=0), strict=True)), "": np.ones(len(langs))}
     says = evidence.sparkSession.createDataFrame([(d, p.tolist()) for d, p in said.items()], "declared string, says array<double>")
     suffixes = staged(evidence.groupBy("suffix").agg(sums.alias("s")))
-    hosts = staged(evidence.groupBy("host").agg(sums.alias("h")))
-    rows = evidence.join(hosts, "host").join(suffixes, "suffix").join(F.broadcast(says), "declared")
+    hosts = staged(evidence.groupBy("host").agg(sums.alias("h"), F.count("*").alias("n")))
+    hosts = staged(hosts.withColumn("suffix", F.substring_index("host", ".", -1)).join(suffixes, "suffix"))
+    # Pages meet their host by host and part, so that no task gets all pages of one host.
+    pages = hosts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(hosts.where(F.col("n") > HOT * pages).select("host", F.ceil(F.col("n") / F.lit(max(1.0, HOT * pages))).cast("int").alias("parts")))  # at most 1 / HOT rows
+    dealt = lambda df: df.join(hot, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hosts = dealt(hosts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", "part", "h", "s")
+    rows = dealt(evidence).withColumn("part", F.pmod(F.xxhash64("page_id", "t"), F.col("parts")).cast("int")).join(hosts, ["host", "part"]).join(F.broadcast(says), "declared")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     times = lambda x, y: F.zip_with(x, y, lambda a, b: a * b)
 
@@ -140,6 +151,11 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
 
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """page_id, host, suffix, declared, text_lang, lang, confidence of every page row.
+
+    Null or empty markup has no text: its text posterior is even. Null or malformed urls have the host "". Very long pages are read whole, a
+    page at a time; repeated rows and pages alike in page_id are pages of their own, and vote for each other; other columns play no part; without a document
+    of known language all languages are null; an empty table gives no rows."""
     langs = languages(documents)
     if not langs:
         none = F.lit(None).cast("string")
@@ -148,4 +164,5 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language: page_id, host, suffix, declared, text_lang, lang, confidence."""
     return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

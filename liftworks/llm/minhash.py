@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftworks.llm.common import mix, shingle_set, small_batches, staged, table, utf8
-from liftworks.llm.components import components
+from liftworks.llm.common import mix, shingle_set, small_batches, staged, table, temporaries, utf8
+from liftworks.llm.components import components, contracted
 
 SHINGLE, TREES, DEPTH, NEIGHBOURS = 5, 16, 4, 8
 HASHES = TREES * DEPTH
@@ -29,7 +29,7 @@ AGREE = 30
 #: Candidates of a node that are checked first.
 FIRST = 6
 #: Nodes of a block in the exact pass over crowded regions.
-REGION_BLOCK = 2000
+REGION_BLOCK = 512
 _SEEDS = np.random.default_rng(2025).integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
@@ -47,7 +47,7 @@ def key_of(shingles: np.ndarray) -> bytes:
 
 
 def described(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (16 bytes of the shingle set; null if empty), sig (HASHES x 4 bytes)."""
+    """doc_id, n_shingles, key (16 bytes of the shingle set; null if empty), sig (HASHES x 4 bytes), md5 (of the text)."""
     small_batches(documents.sparkSession)
 
     def run(batches):
@@ -58,9 +58,9 @@ def described(documents: DataFrame) -> DataFrame:
                 n.append(len(s))
                 keys.append(key_of(s) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), b.column("md5")], ["doc_id", "n_shingles", "key", "sig", "md5"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).withColumn("md5", F.md5("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary, md5 string")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -176,8 +176,17 @@ def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).join(wanted, "doc_id").select("text", "id", "key")
-    return rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
+    found = rows.join(wanted, "doc_id").select("text", "id", "key").mapInArrow(run, "id long, set binary")
+
+    def keyed(batches):
+        for b in batches:
+            sets = [s for t in b.column("text").to_pylist() if len(s := shingle_set(t, SHINGLE))]
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set"])
+
+    # Nodes all of whose rows lack an id are found by their set's key.
+    nameless = rows.where("doc_id IS NULL").select("text").mapInArrow(keyed, "key binary, set binary").join(wanted.where("doc_id IS NULL").select("id", "key"), "key")
+    return found.unionByName(nameless.select("id", "set")).dropDuplicates(["id"])
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -221,7 +230,9 @@ def stragglers(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def met(outside: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between stragglers and what they have to meet, in blocks, by products of 0/1 matrices over shared shingles."""
+    """Links (a, b) between stragglers and what they have to meet, in blocks, by products of 0/1 matrices over shared shingles.
+
+    A block gives no more links than it has nodes: each node's link to another that it reaches inside the block."""
     blocks = whole.groupBy("main").agg(F.expr(f"1 + count(*) div {REGION_BLOCK}").alias("blocks"))
     strips = outside.groupBy("main").agg(F.expr(f"1 + count(*) div {REGION_BLOCK}").alias("strips"))
     grid = staged(blocks.join(strips, "main"))
@@ -235,7 +246,7 @@ def met(outside: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ks, ms = left.column("id_l").to_pylist(), right.column("id_r").to_pylist()
         a, b = [[np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in (left.column("set_l"), right.column("set_r"))]
-        found = set()
+        forest: dict = {}
         if a and b:
             every, n = np.unique(np.concatenate([np.unique(np.concatenate(a)), *b]), return_counts=True)
             shared = every[n > 1]
@@ -259,78 +270,91 @@ def met(outside: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
                             other[r, at[words[at] == x]] = 1
                     both = m @ other.T
                     union = size_a[:, None] + size_b[None, j : j + 256] - both
-                    for r, c in zip(*np.nonzero(100 * both >= LINK * union), strict=True):
-                        x, y = ks[i + r], ms[j + c]
-                        if x != y:
-                            found.add((max(x, y), min(x, y)))
-        cols = list(zip(*found, strict=True)) or [[], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+                    at_a, at_b = np.nonzero(100 * both >= LINK * union)
+                    contracted(forest, ((ks[i + r], ms[j + c]) for r, c in zip(at_a.tolist(), at_b.tolist(), strict=True)))
+        return pa.table([pa.array(list(c), pa.int64()) for c in (forest.keys(), forest.values())], names=["a", "b"])
 
     keys = ["main", "block", "strip"]
     return left.groupBy(*[k + "_l" for k in keys]).cogroup(right.groupBy(*[k + "_r" for k in keys])).applyInArrow(run, "a long, b long")
 
 
+def _classes(documents: DataFrame, described_: DataFrame) -> DataFrame:
+    """key, component (a number), component_id (least doc_id; null if no row of it has one) of every distinct shingle set."""
+    with temporaries():
+        nodes = described_.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"))
+        nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))  # written once: the numbers stay
+        trees = staged(forest(nodes))
+        pairs = staged(candidates(trees))
+        ids = nodes.select("id", "key", "doc_id")
+        inside = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = staged(sets_of(documents, inside.join(ids, "id")))
+        ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
+        w = Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")
+        first = ends.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FIRST).select("a", "b").distinct()
+        roots = components(confirmed(first, sets))
+
+        def apart(pairs: DataFrame) -> DataFrame:
+            """Pairs of different components, with these components."""
+            a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+            rows = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
+            return rows.where(F.col("ra") != F.col("rb"))
+
+        def joined(links: DataFrame) -> DataFrame:
+            """The components once these links are in: only the components they touch are gone through again."""
+            rows = apart(links).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+            over = components(rows).select(F.col("node").alias("root"), F.col("root").alias("over"))
+            seen = roots.select("node", "root").unionByName(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
+            return staged(seen.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
+
+        more = staged(confirmed(apart(pairs), sets))
+        if not more.isEmpty():
+            roots = joined(more)
+        outside, whole = stragglers(trees, roots.withColumnRenamed("node", "id"))
+        if not outside.isEmpty():
+            whole = staged(whole)
+            extra = staged(whole.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
+            if not extra.isEmpty():
+                sets = sets.unionByName(staged(sets_of(documents, extra.join(ids, "id"))))
+            more = staged(met(outside, whole, sets))
+            if not more.isEmpty():
+                roots = joined(more)
+        classes = staged(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+        least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return staged(classes.join(least, "root").select("key", F.col("root").alias("component"), "component_id"), keep=True)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Texts that are null, empty or without words have no shingles and link with nothing; exact copies share a class; rows alike in
-    doc_id but not in text are each classified by their own text. Other columns play no part."""
+    doc_id but not in text are each classified by their own text; rows without a doc_id take part, and a component without any doc_id
+    has a null component_id. kept: the row's doc_id is its component's. Other columns play no part; an empty table gives no rows."""
     described_ = staged(described(documents))
-    nodes = described_.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"))
-    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))  # written once: the numbers stay
-    trees = staged(forest(nodes))
-    pairs = staged(candidates(trees))
-    ids = nodes.select("id", "key", "doc_id")
-    inside = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(sets_of(documents, inside.join(ids, "id")))
-    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
-    w = Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")
-    first = ends.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FIRST).select("a", "b").distinct()
-    roots = staged(components(confirmed(first, sets)))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of different components, with these components."""
-        a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        rows = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
-        return rows.where(F.col("ra") != F.col("rb"))
-
-    def joined(links: DataFrame) -> DataFrame:
-        """The components once these links are in: only the components they touch are gone through again."""
-        rows = apart(links).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        over = components(rows).select(F.col("node").alias("root"), F.col("root").alias("over"))
-        seen = roots.select("node", "root").unionByName(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
-        return staged(seen.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
-
-    more = staged(confirmed(apart(pairs), sets))
-    if not more.isEmpty():
-        roots = joined(more)
-    outside, whole = stragglers(trees, roots.withColumnRenamed("node", "id"))
-    if not outside.isEmpty():
-        whole = staged(whole)
-        extra = staged(whole.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
-        if not extra.isEmpty():
-            sets = sets.unionByName(staged(sets_of(documents, extra.join(ids, "id"))))
-        more = staged(met(outside, whole, sets))
-        if not more.isEmpty():
-            roots = joined(more)
-    classes = staged(nodes.select("id", "key", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_key = staged(classes.join(least, "root").select("key", "component_id"))
     rows = described_.select("doc_id", "n_shingles", "key")
-    done = rows.where("key IS NOT NULL").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
+    done = rows.where("key IS NOT NULL").join(_classes(documents, described_), "key").select("doc_id", "n_shingles", "component_id")
     none = rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return done.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return done.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (of rows alike in it, the first text by value); own columns."""
-    keep = staged(near_duplicates(documents).where("kept").select("doc_id").distinct())
-    rows = documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
+    """One row of each component, in its own columns: that of the least doc_id (nulls last), then of the least hash of the text, then of the
+    first other columns. Texts without words are components of their own, one for each doc_id and text."""
+    with temporaries():
+        described_ = staged(described(documents).select("doc_id", "key", "n_shingles", "sig", "md5"))
+        classes = _classes(documents, described_)
+        best = described_.join(classes, "key").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("md5"))).alias("x")).select("x.doc_id", "x.md5")
+        keep = staged(best.unionByName(described_.where("key IS NULL").select("doc_id", "md5").distinct()), keep=True)
+    # The documents' own columns go along in one struct: no name of theirs can clash.
+    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), F.col("doc_id").cast("long").alias("id"), F.md5(utf8()).alias("md5")).alias("a")
+    rows = d.join(keep.alias("k"), F.col("a.id").eqNullSafe(F.col("k.doc_id")) & (F.col("a.md5") == F.col("k.md5")), "left_semi")
+    others = F.to_json(F.struct(*[F.col("d").getField(c).alias(c) for c in documents.columns if c != "text"]))
+    one = rows.groupBy("id", "md5").agg(F.min_by("d", others).alias("d"))
+    return one.select(*[F.col("d").getField(c).alias(c) for c in documents.columns])
 
 
 SQL = r"""
