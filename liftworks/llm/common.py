@@ -98,16 +98,36 @@ def lower_ascii(col: Column) -> Column:
 
 
 class WordHash(dict):
-    """64-bit hashes of words, remembered up to CACHE_WORDS."""
+    """128-bit hashes of words, remembered for about CACHE_WORDS of them; a word's place in the two arrays of halves is its value here."""
+
+    def __init__(self):
+        super().__init__()
+        self.low, self.high = np.empty(CACHE_WORDS, np.uint64), np.empty(CACHE_WORDS, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        h = self.digest(word)
+        self[word] = at = len(self)
+        self.low[at], self.high[at] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+        return at
+
+    @staticmethod
+    def digest(word: bytes) -> int:
+        return xxhash.xxh3_128_intdigest(word, 7)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        if len(self) + len(words) > len(self.low):
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
+        if len(words) > len(self.low):
+            self.low, self.high = np.empty(len(words), np.uint64), np.empty(len(words), np.uint64)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """The lower halves."""
+        return self.low[self._places(words)]
+
+    def both(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = self._places(words)
+        return self.low[at], self.high[at]
 
 
 HASHES = WordHash()
