@@ -256,10 +256,31 @@ def test_pseudonyms_round_trip(spark, empty):
     assert pii.replaced(empty.drop("n_found")).count() == 0
 
 
-def test_dates_are_permuted(spark):
-    d = spark.range(0, 73049, 7).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("t"))
-    got = d.select("t", pii.pseudonym(F.col("t")).alias("p")).collect()
-    assert len({r["p"] for r in got}) == len(got) and all("1900-01-01" <= r["p"] <= "2099-12-31" for r in got)
+def test_all_dates_and_social_numbers_are_permuted(spark):
+    there, back = pii.Cipher("k"), pii.Cipher("k", inverse=True)
+    for made in (
+        spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("t")),
+        spark.range(0, 898 * 99 * 9999, 88_801).select(F.format_string("%03d-%02d-%04d", F.expr("id div 989901 + 1 + if(id div 989901 >= 665, 1, 0)"), F.expr("id div 9999 % 99 + 1"), F.expr("id % 9999 + 1")).alias("t")),
+    ):
+        got = made.withColumn("p", there.pseudonym(F.col("t"))).withColumn("b", back.pseudonym(F.col("p"))).withColumn("ok", pii.valid(F.col("t")) & pii.valid(F.col("p")))
+        row = got.agg(F.count("*").alias("n"), F.count_distinct("p").alias("d"), F.count_if(F.col("b") == F.col("t")).alias("back"), F.count_if("ok").alias("ok"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
+        assert row["n"] == row["d"] == row["back"] == row["ok"]
+        assert row["n"] != 73049 or (row["lo"], row["hi"]) == ("1900-01-01", "2099-12-31")
+
+
+def test_only_validated_numbers_are_replaced(spark):
+    left = "order 1234567890123 4111 1111 1111 1112 000-12-3456 666-12-3456 900-12-3456 123-00-3456 256.1.1.1 2024-02-31 2023/02/29 31.04.2020"
+    taken = "2024/02/29 and 29.02.2024 on 2024-02-29, +44 20 7946 0958, 4111-1111-1111-1111 and 378282246310005 next"
+    docs = spark.createDataFrame([(1, left), (2, taken), (2, taken), (3, taken + " " + "word " * 60_000 + "4111111111111111")], "doc_id long, text string")
+    got = pii.replaced(docs, key="other").orderBy("doc_id").collect()
+    assert got[0]["text"] == left and got[0]["n_found"] == 0
+    assert got[1] == got[2] and got[1]["n_found"] == 6
+    day, dotted, iso = got[1]["text"].split(",")[0].replace(" and ", " ").replace(" on ", " ").split(" ")
+    assert day.replace("/", "-") == iso == "-".join(reversed(dotted.split("."))) != "2024-02-29"
+    assert got[3]["n_found"] == 7 and got[3]["text"].count("word ") == 60_000
+    assert pii.replaced(docs, key="third").where("doc_id = 2").first()["text"] != got[1]["text"]
+    back = pii.restore(pii.replaced(docs, key="other"), key="other").orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == [left, taken, taken, docs.where("doc_id = 3").first()["text"]]
 
 
 def test_language_fuses_evidence(spark, empty):
