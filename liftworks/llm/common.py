@@ -77,6 +77,17 @@ def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: object):
+    """A session setting for what runs inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of texts holds (only lowers the session's setting), and let workers find this package."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftworks.llm.common import HASHES, mix, small_batches, staged, table, temporaries, utf8, window_hashes
+from liftworks.llm.common import HASHES, mix, setting, small_batches, staged, table, temporaries, utf8, window_hashes
 
 #: Words of a passage (repeats of this length or more are found) and of an anchor's leading gram.
 PASSAGE, ANCHOR = 50, 8
+#: Suffixes of a partition, some hundred bytes each, that the driver sees to part the ranges of suffix order.
+SAMPLED = 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: A suffix's windows as one number: (first window * 64 + further windows) * 64 + words from the first window's start to the suffix.
 _SPAN = 64
@@ -237,8 +239,8 @@ def repeats(documents: DataFrame) -> DataFrame:
     table gives no rows."""
     with temporaries():
         with temporaries():
-            found = staged(neighbours(suffixes(documents)), keep=True)
-        with temporaries():
+            found = staged(neighbours(staged(suffixes(documents))), keep=True)
+        with temporaries(), setting(documents.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", SAMPLED):
             told = staged(compared(in_words(documents, found)), keep=True)
         first = F.floor(F.col("span") / _SPAN**2)
         sure = found.where("kind > 0").select("doc_id", first.alias("start"), (first + F.floor(F.col("span") / _SPAN) % _SPAN + PASSAGE).alias("end"))
