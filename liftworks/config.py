@@ -24,10 +24,10 @@ CAMPAIGNS = (
     Campaign("TOK", "token", 4, 10.0, "n/a", secondary="usage"),
 )
 
-#: Channel -> (contacts allowed, rolling days, cool-down days).
+#: Channel -> (contacts allowed, rolling days, cool-down days).
 CAPS = {"MB": (5, 365, 0), "IM": (3, 90, 14), "EM": (2, 90, 30), "EM_IM": (1, 90, 60), "DO": (2, 90, 14)}
 
-#: Bucket upper edges (inclusive) and labels, the last label open-ended.
+#: Bucket upper edges (inclusive) and labels, the last label open-ended.
 CONTACTS = ([1, 2, 3, 5, 10], ["1", "2", "3", "4-5", "6-10", "11+"])
 GAPS = ([0, 7, 15, 25, 30, 60, 90], ["<=0", "1-7", "8-15", "16-25", "26-30", "31-60", "61-90", "90+"])
 AFTER_SUCCESS = ([0, 3, 7, 14, 30, 60], ["same_day", "1-3", "4-7", "8-14", "15-30", "31-60", "60+"])
@@ -38,6 +38,10 @@ TENURES = ([1, 3, 5, 10], ["0-1yr", "2-3yr", "4-5yr", "6-10yr", "10yr+"])
 INCOMES = ([0, 2500, 5000, 7500], ["<=0", "0-2.5k", "2.5-5k", "5-7.5k", "7.5k+"])
 
 
+#: What reports call the arms.
+ARM_LABELS = {"action": "Test", "control": "Control"}
+
+
 def case(key: str, values: dict, otherwise: str = "NULL") -> str:
     """SQL: the value that belongs to a key column."""
     quoted = lambda v: f"'{v}'" if isinstance(v, str) else repr(v)

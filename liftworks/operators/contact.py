@@ -179,6 +179,15 @@ def window_overlap(first: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy("bucket", "first").agg(F.count("*").alias("clients"))
 
 
+def window_gaps(first: DataFrame, a: str, b: str) -> DataFrame:
+    """Of clients' first deployments in two campaigns, by which came first: clients, those with overlapping windows, gap statistics (days
+    between windows, below zero where they overlap; the median is discrete)."""
+    x = first.where(F.col("campaign") == a).select("client_id", F.col("start_dt").alias("a0"), F.col("end_dt").alias("a1"))
+    y = first.where(F.col("campaign") == b).select("client_id", F.col("start_dt").alias("b0"), F.col("end_dt").alias("b1"))
+    rows = x.join(y, "client_id").withColumn("gap", F.greatest(F.datediff("b0", "a1"), F.datediff("a0", "b1"))).withColumn("first", F.when(F.col("a0") < F.col("b0"), "A").when(F.col("a0") > F.col("b0"), "B").otherwise("SAME"))
+    return rows.groupBy("first").agg(F.count("*").alias("clients"), F.count_if(F.col("gap") <= 0).alias("overlapping"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.avg("gap"), 6).alias("mean"), F.expr("CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY gap) AS double)").alias("median"))
+
+
 def split_by_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
     """Deployments and success rate of campaign a, for clients who are also in b and those who are not."""
     ids = df.where(F.col("campaign") == b).select("client_id").distinct()
@@ -201,10 +210,9 @@ def shared_tactics(df: DataFrame) -> DataFrame:
     return ids.alias("a").join(ids.alias("b"), "tactic_id").where("a.report_group < b.report_group").groupBy(F.col("a.report_group").alias("group_a"), F.col("b.report_group").alias("group_b")).agg(F.count("*").alias("tactics"))
 
 
-def cap_breaches(df: DataFrame, caps: dict = K.CAPS) -> DataFrame:
-    """Deployments that break their channel's cap (more than n in the days before, itself included) or its cool-down."""
-    day = F.datediff("start_dt", F.lit("1970-01-01").cast("date"))
-    df = df.where(F.col("channel").isin(*caps)).withColumn("day", day)
+def _cap_flags(df: DataFrame, caps: dict) -> DataFrame:
+    """over_cap and in_cooldown (0/1) of every deployment; channels without a rule break none."""
+    df = df.withColumn("day", F.datediff("start_dt", F.lit("1970-01-01").cast("date")))
     limit, days, cool = ({c: v[i] for c, v in caps.items()} for i in range(3))
     by_days = {d: [c for c in caps if days[c] == d] for d in sorted(set(days.values()))}
     n = F.lit(None).cast("long")
@@ -213,21 +221,31 @@ def cap_breaches(df: DataFrame, caps: dict = K.CAPS) -> DataFrame:
         n = F.when(F.col("channel").isin(*own), F.count("*").over(w)).otherwise(n)
     prev = F.lag("day").over(Window.partitionBy("client_id", "channel").orderBy("day", "decision_id"))
     df = df.withColumns({"in_window": n, "since": F.col("day") - prev})
-    return df.select("decision_id", "campaign", "channel", F.expr(f"CASE WHEN in_window > {K.case('channel', limit)} THEN 1 ELSE 0 END").alias("over_cap"), F.expr(f"CASE WHEN since < {K.case('channel', cool)} THEN 1 ELSE 0 END").alias("in_cooldown")).where("over_cap = 1 OR in_cooldown = 1")
+    return df.withColumns({"over_cap": F.expr(f"CASE WHEN in_window > {K.case('channel', limit)} THEN 1 ELSE 0 END"), "in_cooldown": F.expr(f"CASE WHEN since < {K.case('channel', cool)} THEN 1 ELSE 0 END")}).drop("day", "in_window", "since")
+
+
+def cap_breaches(df: DataFrame, caps: dict = K.CAPS) -> DataFrame:
+    """Deployments that break their channel's cap (more than n in the days before, itself included) or its cool-down."""
+    rows = _cap_flags(df.where(F.col("channel").isin(*caps)), caps)
+    return rows.where("over_cap = 1 OR in_cooldown = 1").select("decision_id", "campaign", "channel", "over_cap", "in_cooldown")
+
+
+def _reached(df: DataFrame) -> DataFrame:
+    """The campaign's goal (metric), and the first day on which its client reached that in any campaign."""
+    goal = F.expr(K.case("campaign", {c.code: c.metric for c in K.CAMPAIGNS}))
+    return df.withColumn("goal", goal).withColumn("reached", F.min("success_dt").over(Window.partitionBy("client_id", "goal")))
 
 
 def suppressed(df: DataFrame) -> DataFrame:
     """Deployments whose client had already reached the campaign's goal (metric) by an earlier success in any campaign with that goal."""
-    goal = F.expr(K.case("campaign", {c.code: c.metric for c in K.CAMPAIGNS}))
-    rows = df.withColumn("goal", goal).withColumn("reached", F.min("success_dt").over(Window.partitionBy("client_id", "goal")))
-    return rows.where("start_dt > reached").select("decision_id", "client_id", "campaign", "goal", "reached")
-
-
-def avoided(df: DataFrame, most: int = 5) -> DataFrame:
-    """Deployments that each rule would have avoided."""
-    rules = [("cap_and_cooldown", cap_breaches(df)), ("after_success", after_success(df)), (f"over_{most}_contacts", sequenced(df).where(F.col("seq") > most)), ("goal_reached", suppressed(df))]
-    out = None
-    for name, rows in rules:
-        one = rows.agg(F.count("*").alias("avoided")).select(F.lit(name).alias("rule"), "avoided")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _reached(df).where("start_dt > reached").select("decision_id", "client_id", "campaign", "goal", "reached")
+
+
+def avoided(df: DataFrame, most: int = 5, caps: dict = K.CAPS) -> DataFrame:
+    """Deployments that each rule would have avoided, from one pass: all windows lie within a client, so the rows are dealt out once."""
+    w = Window.partitionBy("client_id", "campaign")
+    rows = df.repartition("client_id").withColumns({"first_success": F.min("success_dt").over(w), "seq": F.row_number().over(w.orderBy(*ORDER))})
+    rows = _reached(_cap_flags(rows, caps))
+    rules = {"cap_and_cooldown": "over_cap = 1 OR in_cooldown = 1", "after_success": "start_dt > first_success", f"over_{most}_contacts": f"seq > {most}", "goal_reached": "start_dt > reached"}
+    one = rows.agg(*[F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(n) for n, c in rules.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("avoided")) for n in rules])).alias("x")).select("x.*")

@@ -41,12 +41,12 @@ def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcome_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """client_id, metric, success_dt: one row per client, metric and day."""
-    lines = _shipped(spark, sf_dir).withColumn("success_dt", F.to_date("l_shipdate"))
-    plain = lines.select("client_id", F.expr(case("l_returnflag", {"R": "acquisition", "A": "activation", "N": "usage"})).alias("metric"), "success_dt")
-    lookup = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
-    token = lines.where("l_returnflag = 'N'").join(lookup, "l_partkey", "left_semi").select("client_id", F.lit("token").alias("metric"), "success_dt")
-    return plain.unionByName(token).dropDuplicates(["client_id", "metric", "success_dt"])
+    """client_id, metric, success_dt: one row per client, metric and day, from one pass over the lines."""
+    lookup = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("listed"))
+    lines = _shipped(spark, sf_dir).join(lookup, "l_partkey", "left").withColumn("success_dt", F.to_date("l_shipdate"))
+    own = F.expr(case("l_returnflag", {"R": "acquisition", "A": "activation", "N": "usage"}))
+    metrics = F.when((F.col("l_returnflag") == "N") & F.col("listed"), F.array(own, F.lit("token"))).otherwise(F.array(own))
+    return lines.select("client_id", F.explode(metrics).alias("metric"), "success_dt").dropDuplicates(["client_id", "metric", "success_dt"])
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,3 +72,43 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 17 != 0, (18 + F.col("c_custkey") * 7 % 60).cast("int")).alias("age"),
         (F.col("c_custkey") % 15).cast("int").alias("tenure"),
     )
+
+
+def deployment_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail feedback on deployments: an order's first four lines are its dispositions 1 to 4; client_id, treatment (tactic id), disposition, day."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select("l_orderkey", F.col("l_linenumber").alias("disposition"), F.to_date("l_shipdate").alias("day"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("client_id"), F.concat(F.date_format("o_orderdate", "yyyyDDD"), F.expr(case("o_orderpriority", CODES))).alias("treatment"))
+    return lines.join(orders, "l_orderkey").select("client_id", "treatment", "disposition", "day")
+
+
+def purchase_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as point-of-sale records: card_no (client from the 7th character on), service, txn_type, message, amount, txn_dt."""
+    codes = lambda c, values: F.expr(case(c, values))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2 + 35).alias("service"), codes("l_returnflag", {"R": 10, "A": 12, "N": 13}).alias("txn_type"), codes("l_linestatus", {"O": "0210", "F": "0220"}).alias("message"), (F.col("l_quantity") - 5).cast("decimal(18,2)").alias("amount"), F.to_date("l_shipdate").alias("txn_dt"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("451900"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("1")).alias("card_no"))
+    return lines.join(orders, "l_orderkey").drop("l_orderkey")
+
+
+def card_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cards: client_id, status, service, issued (null for every eleventh), activated (null for a third)."""
+    day = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("client_id"), F.expr(case("o_orderstatus", {"F": "06", "O": "08", "P": "01"})).alias("status"), (F.col("o_orderkey") % 3 + 35).cast("int").alias("service"),
+        F.when(F.col("o_orderkey") % 11 != 0, day).alias("issued"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(day, 5)).alias("activated"),
+    )
+
+
+def wallet_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as wallet records: card_no, visa_no, requestor (token), amount, service, entry_mode, merchant, approval, txn_dt."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.concat(F.when(F.col("l_suppkey") % 3 == 0, "45190").when(F.col("l_suppkey") % 3 == 1, "45199").otherwise("40000"), F.lit("0000")).alias("visa_no"), F.concat((F.col("l_linenumber") - 1).cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("requestor"),
+        F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("amount"), F.lit(36).alias("service"), F.when(F.col("l_returnflag") == "A", "010").otherwise("000").alias("entry_mode"), F.when(F.col("l_linestatus") == "O", "Provisioning").alias("merchant"), F.when(F.col("l_quantity") > 3, "ok").alias("approval"), F.to_date("l_shipdate").alias("txn_dt"),
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.when(F.col("o_orderkey") % 5 == 0, "45191").otherwise("45190"), F.lit("0"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("1")).alias("card_no"))
+    return lines.join(orders, "l_orderkey").drop("l_orderkey")
+
+
+def token_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requestors of wallets: requestor, wallet (Y or N)."""
+    rows = table(spark, sf_dir, "part").select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("n"), "p_partkey", F.when(F.col("p_size") <= 20, "Y").otherwise("N").alias("wallet"))
+    return rows.select(F.concat(F.col("n").cast("string"), F.lit("-"), F.col("p_partkey").cast("string")).alias("requestor"), "wallet")

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from liftworks.sources.scratch import staged, temporaries
 
-def read_partitions(spark: SparkSession, root: str, column: str, values: list | None = None) -> DataFrame:
-    """A partitioned Parquet table from its root; only the wanted partitions are listed in the scan."""
+
+#: Bytes of the largest result that `save_csv` writes as one file.
+CSV_BYTES = 50 * 1024 * 1024
+
+
+def read_partitions(spark: SparkSession, root: str, column: str, values: list | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A partitioned Parquet table from its root, the partition column kept: only the wanted partitions are listed in the scan, and only the
+    wanted columns are read."""
     df = spark.read.option("basePath", root).parquet(root)
-    return df.where(F.col(column).isin(*values)) if values is not None else df
+    df = df.where(F.col(column).isin(*values)) if values is not None else df
+    return df.select(*dict.fromkeys([*columns, column])) if columns else df
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: object, upper: object, partitions: int, **options: str) -> DataFrame:
+    """A database table, or a query as "(SELECT ...) t", read by as many tasks over ranges of a column: no row passes through the driver. Rows beyond the bounds are read too."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions), **options).load()
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,15 +57,26 @@ def latest(df: DataFrame, column: str) -> DataFrame:
 
 
 def save_checked(df: DataFrame, path: str) -> int:
-    """Overwrite a Parquet table; read it back and raise if its row count differs from what was written."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
-    written, meant = spark.read.parquet(path).count(), df.count()
+    """Overwrite a Parquet table; raise if the rows that it holds are not as many as were written (counted while writing, not anew)."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    written, meant = df.sparkSession.read.parquet(path).count(), seen.get["n"]
     if written != meant:
         raise ValueError(f"{path}: {written} rows instead of {meant}")
     return written
 
 
-def save_csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header; for final, aggregated frames."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def save_csv(df: DataFrame, path: str, most: int = CSV_BYTES) -> None:
+    """A small result as one CSV file with a header; one of over `most` bytes (as Parquet) is an error, and nothing is written."""
+    with temporaries():
+        rows = staged(df)
+        size = sum(folder_sizes(rows))
+        if size > most:
+            raise ValueError(f"{path}: {size} bytes, more than {most}; write it as Parquet")
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def folder_sizes(df: DataFrame) -> list[int]:
+    """Bytes of each file that a frame reads."""
+    rows = df.select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+    return [r["file_size"] for r in rows]
