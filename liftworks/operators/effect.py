@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftworks.config import CAMPAIGNS, case
+from liftworks.config import CAMPAIGNS, CONTACTS, case
 from liftworks.functions import stats as S
 
 ACTION = "arm = 'action'"
@@ -100,3 +100,21 @@ def channel_lift(df: DataFrame) -> DataFrame:
     rows = by.join(base, "campaign").withColumn("holdout", F.expr("x0 > 0.95e0 * all0")).where("n1 > 0")
     rows = rows.withColumn("n0", F.expr("CASE WHEN holdout THEN x0 ELSE n0 END")).withColumn("s0", F.expr("CASE WHEN holdout THEN xs0 ELSE s0 END"))
     return judged(rows.select("campaign", "channel", "n1", "s1", "n0", "s0", F.when(F.col("holdout"), "XX holdout").when(F.col("n0") > 0, "matched").otherwise("N/A").alias("baseline")))
+
+
+def by_frequency(df: DataFrame) -> DataFrame:
+    """Effectiveness by bucket of a client's contacts in the campaign, in the columns of `slices` (slice_type FREQUENCY)."""
+    per = df.groupBy("campaign", "arm", "client_id").agg(F.count("*").alias("n"), F.max("success").alias("success"))
+    rows = per.select("campaign", "arm", "success", F.lit("FREQUENCY").alias("slice_type"), F.expr(S.bucket("n", *CONTACTS)).alias("slice"))
+    return lift_by(rows, "campaign", "slice_type", "slice")
+
+
+def credibility(df: DataFrame) -> DataFrame:
+    """One row per campaign: the sample ratio and the cohorts' stability."""
+    return sample_ratio(df).join(stability(df), "campaign", "left")
+
+
+def increments(rows: DataFrame) -> DataFrame:
+    """Incremental clients of rows with lift (points) and clients in three forms: cut to a whole number, as it is (1 digit), at least 0."""
+    plain = F.col("lift") / 100.0 * F.col("clients")
+    return rows.withColumns({"whole": plain.cast("int"), "fraction": F.round(plain, 1), "floored": F.greatest(F.round(plain, 1), F.lit(0.0))})

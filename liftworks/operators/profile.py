@@ -10,13 +10,20 @@ from liftworks.functions import columns as C
 from liftworks.functions import stats as S
 
 
+def one_snapshot(profiles: DataFrame) -> DataFrame:
+    """One row per client and month-end: of several, the largest by its own values in order."""
+    names = [c for c in profiles.columns if c not in ("client_id", "month_end")]
+    return profiles.groupBy("client_id", "month_end").agg(F.max(F.struct(*names)).alias("_p")).select("client_id", "month_end", "_p.*")
+
+
 def enriched(df: DataFrame, profiles: DataFrame, cap: str) -> DataFrame:
-    """Deployments with their client's profile at the start's month-end, at most the latest snapshot; none is lost, none doubled.
+    """Deployments with their client's profile at the start's month-end, at most the latest snapshot; none is lost, none doubled."""
+    return df.withColumn("month_end", C.month_end("start_dt", cap)).join(one_snapshot(profiles), ["client_id", "month_end"], "left")
 
-    Snapshots alike in client and month-end are reduced to one by their own values first."""
-    names = [c for c in profiles.columns if c not in ("client_id", "month_end")]
-    one = profiles.groupBy("client_id", "month_end").agg(F.max(F.struct(*names)).alias("_p")).select("client_id", "month_end", "_p.*")
-    return df.withColumn("month_end", C.month_end("start_dt", cap)).join(one, ["client_id", "month_end"], "left")
+
+def of_listed(profiles: DataFrame, clients: DataFrame) -> DataFrame:
+    """Snapshots of the clients on a list; Spark broadcasts the list where it is small enough by its own measure."""
+    return profiles.join(clients.select("client_id").distinct(), "client_id", "left_semi")
 
 
 def segments(df: DataFrame) -> DataFrame:
@@ -64,3 +71,26 @@ def email_funnel(population: DataFrame, flags: DataFrame) -> DataFrame:
     rows = rows.withColumn("treatment", F.col("treatment").cast("string"))
     out = rows.groupingSets([[F.col("treatment")], []], "treatment").agg(F.count("*").alias("population"), *[F.sum(c).alias(c) for c in ("sent", "opened", "clicked", "unsubscribed")], F.grouping("treatment").alias("g"))
     return out.select(F.expr("CASE WHEN g = 1 THEN 'ALL' ELSE treatment END").alias("treatment"), "population", "sent", "opened", "clicked", "unsubscribed", *[F.expr(f"round({S.rate(c, 'sent')}, 6)").alias(f"{c}_rate") for c in ("opened", "clicked", "unsubscribed")])
+
+
+FUNNEL = ("sent", "opened", "clicked", "unsubscribed")
+
+
+def volume(df: DataFrame) -> DataFrame:
+    """Deployments, clients, contacts per client and share (%) of all deployments, by campaign."""
+    rows = df.groupBy("campaign").agg(F.count("*").alias("deployments"), F.countDistinct("client_id").alias("clients")).withColumn("total", F.sum("deployments").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.select("campaign", "deployments", "clients", F.round(F.col("deployments") / F.col("clients"), 6).alias("avg_contacts"), F.expr(f"round({S.rate('deployments', 'total')}, 6)").alias("pct"))
+
+
+def with_email(df: DataFrame, flags: DataFrame) -> DataFrame:
+    """Deployments in an e-mail channel with their feedback (by client and tactic id; one row each, whatever report groups share an id)."""
+    return df.where(C.has_channel("channel", "EM")).join(flags.withColumnRenamed("treatment", "tactic_id"), ["client_id", "tactic_id"], "left").na.fill(0, list(FUNNEL))
+
+
+def email_by_grain(df: DataFrame) -> DataFrame:
+    """E-mail deployments of the action arm and rates (%) of sent by campaign, by cohort, and by cohort and report group, in one pass."""
+    from liftworks.operators import effect
+
+    sets = [("campaign",), ("campaign", "cohort"), ("campaign", "cohort", "report_group")]
+    rows = effect.with_all(df.where("arm = 'action'").select("campaign", "cohort", "report_group", *FUNNEL), sets, [F.count("*").alias("email_deployments"), *[F.sum(c).alias(c) for c in FUNNEL]])
+    return rows.select("campaign", "cohort", "report_group", "email_deployments", *FUNNEL, *[F.expr(f"CASE WHEN sent > 0 THEN round({S.rate(c, 'sent')}, 6) END").alias(f"{c}_rate") for c in FUNNEL[1:]])

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftworks.functions import stats as S
-from liftworks.operators import contact, effect, spend, vintage
+from liftworks.operators import contact, effect, population, profile, spend, vintage
+from liftworks.sources import readers
+from liftworks.sources.scratch import staged, temporaries
 
 
 def consolidated(df: DataFrame) -> DataFrame:
@@ -34,19 +36,45 @@ def efficiency(df: DataFrame) -> DataFrame:
     return a.join(e, "campaign", "left").select("campaign", "deployments", "clients", F.expr(f"round({S._d('deployments')} / clients, 6)").alias("avg_contacts"), F.expr("CASE WHEN incremental > 0 THEN round(deployments / incremental, 4) ELSE 0e0 END").alias("per_incremental"))
 
 
+def consolidated_full(df: DataFrame, email: DataFrame) -> DataFrame:
+    """`consolidated` with the campaign's contacts per client (action) and the grain's e-mail deployments and rates (null where it has none)."""
+    contacts = contact.contact_stats(df.where("arm = 'action'")).select("campaign", "avg_contacts", "median", "p90", "most")
+    mails = profile.email_by_grain(email).drop("opened", "clicked", "unsubscribed")
+    return consolidated(df).join(contacts, "campaign", "left").join(mails, ["campaign", "cohort", "report_group"], "left")
+
+
+def lite(df: DataFrame, complete_to: str) -> DataFrame:
+    """`consolidated` by campaign and cohort, without cohorts after the last complete one."""
+    return consolidated(df.where(F.col("cohort") <= complete_to)).where("cohort <> 'ALL' AND report_group = 'ALL'").drop("report_group")
+
+
 def scorecard(df: DataFrame, txns: DataFrame) -> DataFrame:
-    """One row per campaign: effect, credibility, efficiency, ramp, spend."""
-    e = effect.lift_by(df, "campaign").select("campaign", "n1", "n0", "lift", "p_value", "significance")
-    srm = effect.sample_ratio(df, alpha=0.01).select("campaign", F.col("status").alias("srm_status"))
-    stab = effect.stability(df).select("campaign", "stability")
-    eff = efficiency(df).select("campaign", "clients", "per_incremental")
+    """One row per campaign: effect, credibility, efficiency, ramp, difference-in-differences, spend after success. The deployments and the
+    spend are written once and read for all parts."""
+    df, txns = staged(df), staged(txns)
+    e = effect.lift_by(df, "campaign").select("campaign", "n1", "n0", "action_rate", "control_rate", "lift", "p_value", F.expr(S.stars("p_value")).alias("stars"), "significance", "incremental")
+    srm = effect.sample_ratio(df, alpha=0.01).select("campaign", F.col("status").alias("srm_status"), F.col("p_value").alias("srm_p"))
+    stab = effect.stability(df).select("campaign", "cv", "stability")
+    act = df.where("arm = 'action'").groupBy("campaign").agg(F.count("*").alias("deployments"), F.countDistinct("client_id").alias("clients"))
     ramp = vintage.ramp(vintage.curves(df, ("campaign", "arm"))).where("arm = 'action'").select("campaign", "day_50", "day_90")
-    after = spend.after_success(df, txns, "campaign").select("campaign", "avg_spend")
-    most = contact.contact_stats(df.where("arm = 'action'")).select("campaign", "avg_contacts")
+    did = spend.did(population.first_deployments(df), txns, "campaign").select("campaign", "did_spend")
+    after = spend.after_success(df.where("arm = 'action'"), txns, "campaign").select("campaign", "avg_spend")
     out = e
-    for part in (srm, stab, eff, ramp, after, most):
+    for part in (srm, stab, act, ramp, did, after):
         out = out.join(part, "campaign", "left")
-    return out
+    contacts = F.expr(f"round({S._d('deployments')} / clients, 6)")
+    return out.withColumns({"avg_contacts": contacts, "per_incremental": F.expr("CASE WHEN incremental > 0 THEN round(deployments / incremental, 4) ELSE 0e0 END")})
+
+
+def with_importance(card: DataFrame, rows: DataFrame) -> DataFrame:
+    """The scorecard with each campaign's most important feature; ties go to the first by name."""
+    best = rows.groupBy("campaign").agg(F.max(F.struct(F.col("importance"))).alias("x")).join(rows, "campaign").where(F.col("importance") == F.col("x.importance"))
+    return card.join(best.groupBy("campaign").agg(F.min("feature").alias("top_feature"), F.max("importance").alias("top_importance")), "campaign", "left")
+
+
+def detail(df: DataFrame) -> DataFrame:
+    """Effectiveness rows of all slices and contact frequencies in one long table."""
+    return effect.slices(df, ["cohort", "channel", "report_group"]).unionByName(effect.by_frequency(df))
 
 
 def exports(df: DataFrame, txns: DataFrame) -> DataFrame:
@@ -56,17 +84,26 @@ def exports(df: DataFrame, txns: DataFrame) -> DataFrame:
     return v.unionByName(s)
 
 
+def export_all(df: DataFrame, txns: DataFrame, folder: str) -> None:
+    """Writes the scorecard, the detail rows and the curves as CSV files below a folder."""
+    with temporaries():
+        df, txns = staged(df), staged(txns)
+        for name, rows in (("scorecard", scorecard(df, txns)), ("detail", detail(df)), ("curves", exports(df, txns))):
+            readers.save_csv(rows, f"{folder.rstrip('/')}/{name}")
+
+
 def importance(df: DataFrame, least: int = 100) -> DataFrame:
-    """Decision-tree (depth 4) importance of contact number, channel and age for success; no rows under `least` deployments."""
+    """campaign, feature, importance: a decision tree (depth 4) per campaign on contact number, channel and age for success, action arm; none
+    for campaigns under `least` deployments. The rows are written once; Spark fits the trees, one campaign after the other."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    rows = contact.sequenced(df).where("arm = 'action'").select("seq", "channel", F.coalesce("age", F.lit(-1)).alias("age"), F.col("success").cast("double").alias("label"))
-    spark = df.sparkSession
-    names = ["seq", "channel_index", "age"]
-    if rows.count() < least:
-        return spark.createDataFrame([], "feature string, importance double")
-    stages = [StringIndexer(inputCol="channel", outputCol="channel_index", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="x"), DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=4, seed=1)]
-    tree = Pipeline(stages=stages).fit(rows).stages[-1]
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, tree.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    spark, names, found = df.sparkSession, ["seq", "channel_index", "age"], []
+    with temporaries():
+        rows = staged(contact.sequenced(df).where("arm = 'action'").select("campaign", "seq", "channel", F.coalesce("age", F.lit(-1)).alias("age"), F.col("success").cast("double").alias("label")))
+        for r in rows.groupBy("campaign").count().where(F.col("count") >= least).orderBy("campaign").collect():  # a row per campaign
+            stages = [StringIndexer(inputCol="channel", outputCol="channel_index", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="x"), DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=4, seed=1)]
+            tree = Pipeline(stages=stages).fit(rows.where(F.col("campaign") == r["campaign"])).stages[-1]
+            found += [(r["campaign"], n, float(v)) for n, v in zip(names, tree.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(found, "campaign string, feature string, importance double")

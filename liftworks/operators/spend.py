@@ -77,3 +77,38 @@ def last_cohorts(rows: DataFrame, k: int = 6, *by: str) -> DataFrame:
     """Pre/post rows of each group's latest k cohorts added up (ratios are made from sums, not averaged)."""
     latest = rows.withColumn("_n", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("cohort")))).where(F.col("_n") <= k)
     return per_client(latest.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("clients", "pre_txns", "post_txns")], *[F.sum(c).cast(MONEY).alias(c) for c in ("pre_spend", "post_spend")]))
+
+
+def with_rollups(rows: DataFrame, k: int, by: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    """Rows by cohort, with those of the latest k cohorts added up (cohort AVG_6M) and all of them (cohort ALL), per `by`. Ratios are made from sums."""
+    recent = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("cohort"))) <= k
+    parts = F.array(F.col("cohort"), F.lit("ALL"), F.when(F.col("_recent"), "AVG_6M"))
+    long = rows.withColumn("_recent", recent).withColumn("cohort", F.explode(parts)).where("cohort IS NOT NULL")
+    kind = lambda c: MONEY if c.endswith("spend") and not c.startswith("with_") else "long"
+    return long.groupBy(*by, "cohort").agg(*[F.sum(c).cast(kind(c)).alias(c) for c in sums])
+
+
+def after_success_full(df: DataFrame, txns: DataFrame, k: int = 6) -> DataFrame:
+    """Spend after success by campaign and cohort, for the latest k cohorts and in all: totals, share (%) with spend, averages."""
+    rows = with_rollups(after_success(df, txns, "campaign", "cohort"), k, ("campaign",), ("successes", "with_spend", "spend", "txns"))
+    avg = lambda c: F.col(c).cast("double") / F.col("successes")
+    return rows.withColumns({"pct_with_spend": F.round(100 * avg("with_spend"), 6), "avg_spend": avg("spend"), "avg_txns": avg("txns")})
+
+
+def unified(df: DataFrame, txns: DataFrame, k: int = 6) -> DataFrame:
+    """campaign, cohort, arm, period (PRE, POST), clients, spend, txns, avg_spend: every campaign under one rule, first deployments, the window's
+    days before and after the start; with rows of the latest k cohorts (AVG_6M) and of all (ALL)."""
+    rows = with_rollups(pre_post(df, txns, "campaign", "cohort", "arm"), k, ("campaign", "arm"), ("clients", "pre_spend", "post_spend", "pre_txns", "post_txns"))
+    periods = F.array(*[F.struct(F.lit(p.upper()).alias("period"), F.col(f"{p}_spend").alias("spend"), F.col(f"{p}_txns").alias("txns")) for p in ("pre", "post")])
+    rows = rows.select("campaign", "cohort", "arm", "clients", F.explode(periods).alias("x")).select("campaign", "cohort", "arm", "clients", "x.*")
+    return rows.withColumn("avg_spend", F.col("spend").cast("double") / F.col("clients"))
+
+
+def usage(rows: DataFrame) -> DataFrame:
+    """`by_flag` rows with the share (%) of deployments that spent."""
+    return rows.withColumn("usage_rate", F.round(100 * F.col("users") / F.col("deployments"), 6))
+
+
+def lift_pct(rows: DataFrame) -> DataFrame:
+    """Pre/post rows with the change of spend in % of what was before; null where nothing was."""
+    return rows.withColumn("lift_pct", F.when(F.col("pre_spend") > 0, F.round(100 * (F.col("post_spend") - F.col("pre_spend")).cast("double") / F.col("pre_spend").cast("double"), 6)))

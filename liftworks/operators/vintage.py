@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftworks import config as K
 from liftworks.functions import columns as C
 from liftworks.functions import stats as S
 
@@ -63,3 +64,21 @@ def latest_lifts(curve: DataFrame, k: int = 3) -> DataFrame:
     rows = last.groupBy("campaign", "cohort").agg(F.max(F.when(F.col("arm") == "action", F.col("x.rate"))).alias("action_rate"), F.max(F.when(F.col("arm") == "control", F.col("x.rate"))).alias("control_rate"))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("cohort"))))
     return rows.where(F.col("rank") <= k).withColumn("lift", F.round(F.col("action_rate") - F.col("control_rate"), 5))
+
+
+def event_day_curves(df: DataFrame, by: tuple = ("campaign", "cohort", "arm")) -> DataFrame:
+    """Cumulative clients with a success by day since start, on days with events only, up to the group's median window; each client counts
+    once, on its earliest such day."""
+    groups = df.groupBy(*by).agg(F.countDistinct("client_id").alias("client_cnt"), F.expr("CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY window_days) AS int)").alias("window_days"))
+    first = df.where("success_dt IS NOT NULL").groupBy(*by, "client_id").agg(F.min(F.datediff("success_dt", "start_dt")).alias("day"))
+    rows = first.groupBy(*by, "day").agg(F.count("*").alias("n")).join(groups, [*by]).where("day <= window_days")
+    upto = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("success_cnt", F.sum("n").over(upto))
+    return rows.select(*by, "day", "client_cnt", "success_cnt", F.expr(f"round({S.rate('success_cnt', 'client_cnt')}, 6)").alias("rate"))
+
+
+def labelled(curve: DataFrame) -> DataFrame:
+    """Curves as reports show them: metric by its name, arms by their labels, report group as category too, rates as fractions."""
+    metric = F.expr(K.case("campaign", {c.code: c.metric for c in K.CAMPAIGNS}))
+    own = F.col("metric") if "metric" in curve.columns else F.lit("PRIMARY")
+    return curve.withColumns({"metric": F.when(own == "PRIMARY", metric).otherwise(own), "arm": F.expr(K.case("arm", K.ARM_LABELS)), "category": F.col("report_group"), "rate": F.round(F.col("rate") / 100.0, 8)})

@@ -171,7 +171,6 @@ _CONS = f"SELECT *, round({_VALUE}, 2)::DOUBLE AS value, {_ELIGIBLE} AS eligibil
 add("e3_consolidated", on_att(scorecard.consolidated), q(_CONS))
 add("e4_consolidated_lite", on_att(lambda d: scorecard.consolidated(d).where("cohort <> 'ALL' AND report_group = 'ALL'").drop("report_group")), q(f"SELECT * EXCLUDE (report_group) FROM ({_CONS}) WHERE cohort <> 'ALL' AND report_group = 'ALL'"))
 add("e14_value_totals", on_att(lambda d: scorecard.value_totals(scorecard.consolidated(d))), q(f"SELECT eligibility, count(*) AS campaigns, round(sum(value), 2) AS value FROM ({_CONS}) WHERE cohort = 'ALL' AND report_group = 'ALL' GROUP BY 1"))
-add("e11_scorecard", with_txns(scorecard.scorecard))
 add("t9_importance", lambda s, d: scorecard.importance(rich(s, d)))
 
 # --- channels, report groups -----------------------------------------------------------------------------------------------------
@@ -254,7 +253,6 @@ _FQ2 = "'FY' || year(CAST(cohort || '-01' AS DATE) + INTERVAL 2 MONTH) || 'Q' ||
 add("r1_to_fiscal", on_att(lambda d: vintage.to_fiscal(vintage.curves(d, ("campaign", "cohort", "arm")))), q(f"SELECT campaign, {_FQ2} AS fiscal, arm, day, sum(client_cnt)::BIGINT AS client_cnt, sum(success_cnt)::BIGINT AS success_cnt, {r('sum(success_cnt)', 'sum(client_cnt)')} AS rate FROM ({_curve('campaign, cohort, arm')}) GROUP BY ALL"))
 add("r2_r3_rates_table", on_att(lambda d: vintage.rates_table(vintage.curves(d), 30)), q(f"SELECT campaign, arm, CASE WHEN grouping(report_group) = 1 THEN 'ALL' ELSE report_group END AS report_group, sum(client_cnt)::BIGINT AS client_cnt, sum(success_cnt)::BIGINT AS success_cnt, {r('sum(success_cnt)', 'sum(client_cnt)')} AS rate FROM ({_curve(_BY)}) WHERE day = 30 GROUP BY GROUPING SETS ((campaign, arm, report_group), (campaign, arm))"))
 add("r5_latest_lifts", on_att(lambda d: vintage.latest_lifts(vintage.curves(d, ("campaign", "cohort", "arm")))), q(f"SELECT *, round(action_rate - control_rate, 5) + 0e0 AS lift FROM (SELECT campaign, cohort, max(rate) FILTER (WHERE arm = 'action') AS action_rate, max(rate) FILTER (WHERE arm = 'control') AS control_rate, dr AS rank FROM (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY campaign ORDER BY cohort DESC) AS dr FROM ({_curve('campaign, cohort, arm')})) WHERE dr <= 3) GROUP BY campaign, cohort, dr) WHERE rank <= 3"))
-add("e12_curve_export", with_txns(scorecard.exports))
 
 # --- spend -----------------------------------------------------------------------------------------------------------------------
 
@@ -268,10 +266,10 @@ add("d1_j5_pre_post", with_txns(lambda d, t: spend.per_client(spend.pre_post(pop
 add("d2_pre_post_overall", with_txns(lambda d, t: spend.per_client(spend.pre_post(population.first_deployments(d), t, "campaign", "arm"))), q(f"SELECT *, {_PC} FROM ({_prepost('campaign, arm')})"))
 
 
-def _did(rows: str) -> str:
+def _did(rows: str, by: str = "campaign") -> str:
     m = lambda arm, c: f"coalesce(max({c}::DOUBLE / clients) FILTER (WHERE arm = '{arm}'), 0)"
     d = lambda k: f"round(({m('action', 'post_' + k)} - {m('action', 'pre_' + k)}) - ({m('control', 'post_' + k)} - {m('control', 'pre_' + k)}), 4) + 0e0 AS did_{k}"
-    return f"SELECT campaign, {d('spend')}, {d('txns')} FROM ({rows}) GROUP BY 1"
+    return f"SELECT {by}, {d('spend')}, {d('txns')} FROM ({rows}) GROUP BY {by}"
 
 
 add("d3_ag13_did", with_txns(lambda d, t: spend.did(population.first_deployments(d), t, "campaign")), q(_did(_prepost("campaign, arm"))))
@@ -299,6 +297,9 @@ _Q = [("campaigns_present", "5 - count(DISTINCT campaign)", "dep"), ("null_end",
 _REPORT = " UNION ALL ".join(_CHECK.format(n, e, e, s) for n, e, s in _Q) + " UNION ALL SELECT 'on_boundary', 'INFO', count(*) FILTER (WHERE success_dt = start_dt OR success_dt = end_dt) FROM att UNION ALL SELECT 'blank_channel', 'INFO', count(*) FILTER (WHERE coalesce(channel, '') = '') FROM dep"
 add("q1_q8_quality_report", lambda s, d: quality.report(dep(s, d), att(s, d), ev(s, d)), q(_REPORT))
 add("q14_quality_summary", lambda s, d: quality.summary(quality.report(dep(s, d), att(s, d), ev(s, d))), q(f"SELECT status, count(*) AS checks FROM ({_REPORT}) GROUP BY 1"))
-add("q10_q12_rederived", lambda s, d: quality.rederived(att(s, d), ev(s, d), population.campaign_metrics()), q("SELECT campaign, count(*) AS checked, 0::BIGINT AS mismatches FROM dep GROUP BY 1"))
+add("q10_q12_rederived", lambda s, d: quality.rederived(att(s, d), ev(s, d), population.campaign_metrics()), q(f"SELECT campaign, count(*) AS checked, count(*) FILTER (WHERE success_dt IS DISTINCT FROM (SELECT min(e.success_dt) FROM ev e WHERE e.client_id = m.client_id AND e.metric = m.metric AND e.success_dt >= m.start_dt AND e.success_dt <= m.end_dt)) AS mismatches FROM (SELECT *, {_PRIMARY} AS metric FROM att) m GROUP BY 1"))
 add("q9_sample", on_att(quality.sample), q("SELECT campaign, arm, success::BIGINT AS success, decision_id FROM (SELECT *, row_number() OVER (PARTITION BY campaign, arm, success ORDER BY md5(decision_id::VARCHAR)) AS k FROM att) WHERE k <= 3"))
 add("q11_keys_agree", lambda s, d: quality.keys_agree(dep(s, d), X.transactions(s, d)), q("SELECT count(*) FILTER (WHERE x AND y) AS \"both\", count(*) FILTER (WHERE x AND y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b FROM (SELECT DISTINCT client_id, true AS x FROM dep) FULL JOIN (SELECT DISTINCT client_id, true AS y FROM txn) USING (client_id)"))
+add("e12_curve_export", with_txns(scorecard.exports), q(f"SELECT campaign, cohort, arm, 'vintage' AS curve_type, day, rate AS value, client_cnt AS n FROM ({_curve('campaign, cohort, arm')}) UNION ALL SELECT campaign, 'ALL', arm, 'velocity', day, per_success, successes FROM ({_VEL})"))
+
+from liftworks.plans import reports  # noqa: E402, F401  the further reports register themselves here
