@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import os
-import uuid
-from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftworks.sources.scratch import shared_dir, staged, temporaries  # noqa: F401  for the operators
+
 #: Entries that a worker keeps of a word cache; it starts anew beyond this.
 CACHE_WORDS = 400_000
 #: Rows of text handed to a Python worker at once, so that long texts stay within its memory.
@@ -27,56 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: that of spark.checkpoint.dir; where it is unset, one in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
-#: Staged folders that no block of `temporaries` holds: they go when Python ends, since frames given to a caller may still read them.
-_LASTING: list[tuple[SparkSession, str]] = []
-#: The folders of this thread's blocks, the innermost last.
-_BLOCKS: ContextVar[tuple[list, ...]] = ContextVar("blocks", default=())
-
-
-@atexit.register
-def _sweep() -> None:
-    while _LASTING:
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            _delete(*_LASTING.pop())
-
-
-@contextlib.contextmanager
-def temporaries():
-    """What `staged` writes inside is deleted at the end, except where it is told to keep it: that then belongs to the block outside.
-
-    What leaves the block has to be staged with keep=True, as its files are read later."""
-    own: list[tuple[SparkSession, str]] = []
-    token = _BLOCKS.set((*_BLOCKS.get(), own))
-    try:
-        yield
-    finally:
-        _BLOCKS.reset(token)
-        for spark, path in own:
-            _delete(spark, path)
-
-
-def staged(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write the rows to the shared folder and read them again: cuts lineage, survives lost executors."""
-    spark, blocks = df.sparkSession, _BLOCKS.get()
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    holders = [_LASTING, *blocks]
-    holders[-2 if keep and blocks else -1].append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: object):
     """A session setting for what runs inside."""
