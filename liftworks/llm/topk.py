@@ -155,6 +155,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
+    # Few groups of much work: they are dealt out as they are, not put together by their bytes.
+    tasks = shards * blocks + 3 * min(shards * blocks, 100)
+    v, q = v.repartition(tasks, "shard", "block"), q.repartition(tasks, "shard", "block")
     best = v.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
