@@ -13,7 +13,7 @@ def report(population: DataFrame, done: DataFrame, events: DataFrame) -> DataFra
     """All checks of deployments and their attribution: presence, null ends, unique grain, no lost or doubled rows, flags equal dates, dates
     inside windows, events of the treatment range, blanks. One pass over each frame; the checks come from one joined row."""
     codes = [c.code for c in CAMPAIGNS]
-    blank = F.coalesce(F.col("channel"), F.lit("")) == ""
+    blank = F.trim(F.coalesce(F.col("channel"), F.lit(""))) == ""
     p = population.agg(F.lit(len(codes)) - F.count_distinct(F.when(F.col("campaign").isin(*codes), F.col("campaign"))), F.count_if(F.col("end_dt").isNull()), F.count("*") - F.count_distinct("decision_id"), F.count("*"), F.count_if(blank), F.min("start_dt"), F.max("start_dt"))
     p = p.toDF("campaigns_present", "null_end", "unique_grain", "deployments", "blank_channel", "from", "to")
     d = done.agg(F.count("*"), F.count_if((F.col("success") == 1) != F.col("success_dt").isNotNull()), F.count_if((F.col("success_dt") < F.col("start_dt")) | (F.col("success_dt") > F.col("end_dt"))), F.count_if((F.col("success_dt") == F.col("start_dt")) | (F.col("success_dt") == F.col("end_dt"))))
