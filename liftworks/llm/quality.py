@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftworks.llm.common import HASHES, mix, small_batches, staged, table, utf8, window_hashes
+from liftworks.llm.common import mix, small_batches, staged, table, utf8, window_hashes, word_hashes
 
 #: Hash buckets of the n-grams: the counts held by the driver and each worker are bounded by this.
 BUCKETS = 1 << 16
@@ -29,7 +29,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 def buckets(words: list[bytes]) -> np.ndarray:
     """Buckets of all words and all pairs of neighbours."""
-    h = HASHES.of(words)
+    h = word_hashes(words)
     pairs = mix(h[:-1] * _PAIR + h[1:])
     return (np.concatenate([mix(h), pairs]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -50,7 +50,7 @@ def base_measures(text: bytes) -> tuple[int, int, int, int, int]:
             seen.add(line)
     repeat = 0
     if len(words) > 8:
-        g = window_hashes(HASHES.of(words), 8)
+        g = window_hashes(word_hashes(words), 8)
         _, where, n = np.unique(g, return_inverse=True, return_counts=True)
         twice = n[where] > 1
         if twice.any():
