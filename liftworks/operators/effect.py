@@ -115,6 +115,11 @@ def credibility(df: DataFrame) -> DataFrame:
 
 
 def increments(rows: DataFrame) -> DataFrame:
-    """Incremental clients of rows with lift (points) and clients in three forms: cut to a whole number, as it is (1 digit), at least 0."""
-    plain = F.col("lift") / 100.0 * F.col("clients")
-    return rows.withColumns({"whole": plain.cast("int"), "fraction": F.round(plain, 1), "floored": F.greatest(F.round(plain, 1), F.lit(0.0))})
+    """Incremental clients of rows with lift (points) and clients in three forms: cut to a whole number, to the nearest tenth, at least 0.
+
+    The lift counts to its sixth digit; from there on all is done in whole numbers, so no result rests on the last bit of a double."""
+    millionths = F.round(F.col("lift") * 1e6).cast("long") * F.col("clients")
+    rows = rows.withColumn("_m", millionths)
+    whole = F.expr("CAST(sign(_m) AS LONG) * (abs(_m) div 100000000)")
+    tenths = F.expr("CAST(sign(_m) AS LONG) * ((abs(_m) + 5000000) div 10000000)") / F.lit(10.0)
+    return rows.withColumns({"whole": whole, "fraction": tenths, "floored": F.greatest(tenths, F.lit(0.0))}).drop("_m")

@@ -70,7 +70,7 @@ _FREQUENCY = f"(SELECT campaign, arm, success, 'FREQUENCY' AS slice_type, {S.buc
 add("e7_frequency_effect", on_att(effect.by_frequency), q(R.judged(R.by_arms("campaign, slice_type, slice", _FREQUENCY), "campaign, slice_type, slice")))
 add("e8_credibility", on_att(effect.credibility), f"SELECT * FROM ({O['t5_sample_ratio']}) LEFT JOIN ({O['t7_e8_stability']}) USING (campaign)")
 add("e12_detail_export", on_att(scorecard.detail), f"SELECT * FROM ({O['e5_slices']}) UNION ALL BY NAME SELECT * FROM ({O['e7_frequency_effect']})")
-add("t4_increments", on_att(lambda d: effect.increments(scorecard.consolidated(d).select("campaign", "cohort", "report_group", "lift", "clients"))), f"SELECT campaign, cohort, report_group, lift, clients, trunc(lift / 100e0 * clients)::BIGINT AS whole, round(lift / 100e0 * clients, 1) + 0e0 AS fraction, greatest(round(lift / 100e0 * clients, 1), 0e0) + 0e0 AS floored FROM ({O['e3_consolidated']})")
+add("t4_increments", on_att(lambda d: effect.increments(scorecard.consolidated(d).select("campaign", "cohort", "report_group", "lift", "clients"))), f"WITH m AS (SELECT *, round(lift * 1e6)::BIGINT * clients AS m FROM ({O['e3_consolidated']})), t AS (SELECT *, sign(m) * ((abs(m) + 5000000) // 10000000) / 10e0 AS tenths FROM m) SELECT campaign, cohort, report_group, lift, clients, (sign(m) * (abs(m) // 100000000))::BIGINT AS whole, tenths + 0e0 AS fraction, greatest(tenths, 0e0) + 0e0 AS floored FROM t")
 _SRM = f"SELECT campaign, CASE WHEN {S.chi2_p('chi2')} <= 0.01e0 THEN 'ALERT' ELSE 'OK' END AS srm_status, round({S.chi2_p('chi2')}, 6) AS srm_p FROM (SELECT campaign, {S.srm_chi2('n1', 'n0', '0.9e0')} AS chi2 FROM ({R.by_arms('campaign', both=False)}))"
 _AFTER = R._AFTER.format("campaign").replace("WHERE success = 1", "WHERE success = 1 AND arm = 'action'")
 _CARD_SQL = f"""SELECT campaign, n1, n0, action_rate, control_rate, lift, p_value, {S.stars("p_value")} AS stars, significance, incremental, srm_status, srm_p, cv, stability, deployments, clients, day_50, day_90, did_spend, avg_spend,

@@ -1,4 +1,4 @@
-"""Every registered query of the campaign operators against its SQL, on the smallest tables."""
+"""Every registered query of the campaign operators against its SQL, on the tables of the correctness gate."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from liftworks.plans.registry import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
