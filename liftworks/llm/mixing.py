@@ -40,9 +40,14 @@ def _seed() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix:17")).cast("binary"))
 
 
+def _tie() -> Column:
+    """128 bits of the text: with id and source they tell rows apart."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def sized(documents: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return documents.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
+    return documents.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _tie().alias("tie"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -131,7 +136,7 @@ def mixed(documents: DataFrame) -> DataFrame:
     Null and empty texts take nothing and are left out. Columns of any name are carried along."""
     takes = mix(documents).groupBy("doc_id", "source", "size", "tie").agg(F.sum("taken").alias("taken")).where("taken > 0")
     # The documents' own columns go along in one struct: no name of theirs can clash.
-    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), "doc_id", F.col("source").cast("string").alias("source"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
+    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), "doc_id", F.col("source").cast("string").alias("source"), _tie().alias("tie"))
     d = d.dropDuplicates(["doc_id", "source", "tie"]).alias("a")
     t = takes.alias("t")
     same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.tie") == F.col("t.tie")) & F.col("a.source").eqNullSafe(F.col("t.source"))

@@ -13,6 +13,8 @@ rows alike; other columns are kept. Not found: dates as day/month/year or in wor
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ PATTERNS = {
     "account": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: What every finding of every kind holds: a digit, an @, or (secrets of letters alone) as many hexadecimal letters as the shortest secret has.
+LIKELY = "[0-9@]|[a-fA-F]{32}"
 #: Layouts of dates by pattern.
 LAYOUTS = {"date": "yyyy-MM-dd", "slashed": "yyyy/MM/dd", "dotted": "dd.MM.yyyy"}
 #: Dates are permuted among the 17 x 4297 = 73,049 days from 1900-01-01 to 2099-12-31.
@@ -189,9 +193,9 @@ def replaced(documents: DataFrame, inverse: bool = False, key: str = KEY, found:
     tokens = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     new = F.concat(F.transform(tokens, lambda t: F.when(valid(t), cipher.pseudonym(t)).otherwise(t)), F.array(F.lit("")))
     text = F.array_join(F.zip_with(F.split("text", ANY, -1), new, lambda g, r: F.concat(g, r)), "")
-    likely = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    likely = F.coalesce(F.col("text").rlike(LIKELY), F.lit(False))
     plain = documents.where(~likely).select(*names, F.lit(0).cast("long").alias(found))
-    # Texts without a digit or an @ never meet the patterns, those without a finding never the permutations.
+    # Other texts never meet the patterns, those without a finding never the permutations.
     rich = documents.where(likely).select(*names, F.size(F.filter(tokens, valid)).cast("long").alias(found))
     return plain.unionByName(rich.withColumn("text", F.when(F.col(found) > 0, text).otherwise(F.col("text"))))
 
@@ -202,7 +206,11 @@ def restore(documents: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def key_of(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, KEY)
+    """The session's key; where it is unset the one in the source, with a warning: pseudonyms under it can be undone by anyone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is unset: the key for tests is used, which keeps nothing secret", stacklevel=2)
+    return key or KEY
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
