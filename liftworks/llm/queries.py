@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from liftworks.llm import langid, licenses, manifest, minhash, mixing, packing, pii, quality, suffix, topk, toxicity
+from liftworks.llm import langid, licenses, manifest, metric, minhash, mixing, packing, pii, quality, spelling, suffix, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -13,6 +13,16 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_language": langid.op9_language,
     "op10_packing": packing.op10_packing,
+    "op11_embeddings": metric.op11_embeddings,
     "op12_manifest": manifest.op12_manifest,
+    "op13_spelling": spelling.op13_spelling,
+}
+ORACLE_SQL = {
+    "op2_minhash": minhash.SQL,
+    "op3_topk": topk.SQL,
+    "op5_licenses": licenses.SQL,
+    "op6_mixing": mixing.SQL,
+    "op11_embeddings": metric.SQL,
+    "op12_manifest": manifest.SQL,
+    "op13_spelling": spelling.SQL,
 }
-ORACLE_SQL = {"op2_minhash": minhash.SQL, "op3_topk": topk.SQL, "op5_licenses": licenses.SQL, "op6_mixing": mixing.SQL, "op12_manifest": manifest.SQL}
