@@ -249,3 +249,33 @@ def avoided(df: DataFrame, most: int = 5, caps: dict = K.CAPS) -> DataFrame:
     rules = {"cap_and_cooldown": "over_cap = 1 OR in_cooldown = 1", "after_success": "start_dt > first_success", f"over_{most}_contacts": f"seq > {most}", "goal_reached": "start_dt > reached"}
     one = rows.agg(*[F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(n) for n, c in rules.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("avoided")) for n in rules])).alias("x")).select("x.*")
+
+
+def enforced(df: DataFrame, caps: dict = K.CAPS) -> DataFrame:
+    """decision_id, client_id, campaign, channel and rule of all contacts, as if the rules had been in force: goal (the campaign's goal reached
+    before), cap and cooldown (of the channel, counting only earlier contacts that were let through), in this order; null where let through.
+
+    A contact that a rule stops no longer counts against later ones, so each client's contacts are gone through once, in order. What is
+    held for a client are its own contacts."""
+    day = F.datediff("start_dt", F.lit("1970-01-01").cast("date"))
+    rows = _reached(df).select("client_id", F.struct(*ORDER, "campaign", "channel", day.alias("day"), F.coalesce(F.col("start_dt") > F.col("reached"), F.lit(False)).alias("late")).alias("c"))
+    lists = rows.groupBy("client_id").agg(F.array_sort(F.collect_list("c")).alias("all"))
+    limit, days, cool = ({c: v[i] for c, v in caps.items()} for i in range(3))
+    of = lambda values, x: F.coalesce(*[F.when(x["channel"] == c, F.lit(v)) for c, v in values.items()], F.lit(None))
+    kept = lambda x: F.struct(x["channel"].alias("channel"), x["day"].alias("day"))
+
+    def step(s, x):
+        within = F.size(F.filter(s["kept"], lambda k: (k["channel"] == x["channel"]) & (k["day"] > x["day"] - of(days, x)))) + 1
+        close = F.exists(s["kept"], lambda k: (k["channel"] == x["channel"]) & (x["day"] - k["day"] < of(cool, x)))
+        rule = F.when(x["late"], "goal").when(within > of(limit, x), "cap").when(F.coalesce(close, F.lit(False)), "cooldown")
+        told = F.array(F.struct(x["decision_id"].alias("decision_id"), x["campaign"].alias("campaign"), x["channel"].alias("channel"), rule.alias("rule")))
+        return F.struct(F.when(rule.isNull(), F.concat(s["kept"], F.array(kept(x)))).otherwise(s["kept"]).alias("kept"), F.concat(s["out"], told).alias("out"))
+
+    none = lambda kind: F.expr(f"CAST(array() AS array<struct<{kind}>>)")
+    start = F.struct(none("channel: string, day: int").alias("kept"), none("decision_id: bigint, campaign: string, channel: string, rule: string").alias("out"))
+    return lists.select("client_id", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x")).select("x.decision_id", "client_id", "x.campaign", "x.channel", "x.rule")
+
+
+def volumes(rows: DataFrame) -> DataFrame:
+    """rule (NONE where let through), contacts, clients of enforced contacts."""
+    return rows.groupBy(F.coalesce("rule", F.lit("NONE")).alias("rule")).agg(F.count("*").alias("contacts"), F.count_distinct("client_id").alias("clients"))

@@ -43,24 +43,32 @@ def campaign_metrics(secondary: bool = False) -> str:
     return case("campaign", {c.code: (c.secondary if secondary else c.metric) for c in CAMPAIGNS if not secondary or c.secondary})
 
 
+def event_days(events: DataFrame) -> DataFrame:
+    """client_id, success_dt, metrics: one row per client and day, its metrics in an array."""
+    return events.groupBy("client_id", "success_dt").agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
+
+
 def attributed(population: DataFrame, events: DataFrame, metric: str | None = None, key: str = "decision_id") -> DataFrame:
     """Deployments with success (0/1) and success_dt: the first event of their metric from start to end, both inclusive.
 
-    One interval join on client and metric, reduced at once to the first day per deployment, then joined back: no deployment is lost or
-    doubled. A null end never matches. `metric`: SQL for a deployment's metric; the campaign's primary one by default."""
-    meant = population.select(key, "client_id", "start_dt", "end_dt", F.expr(metric or campaign_metrics()).alias("metric")).alias("d")
+    One interval join on client and metric, reduced to the first day per deployment where its rows already are: no deployment is lost or
+    doubled, rows alike in all columns are one. A null end never matches. `metric`: SQL for a deployment's metric; the campaign's primary
+    one by default. `events` of one row per client and day (`event_days`) are joined on the client alone, so where both tables are laid
+    out by client nothing is moved."""
+    d = population.withColumn("_metric", F.expr(metric or campaign_metrics())).alias("d")
     e = events.alias("e")
-    hit = meant.join(e, (F.col("d.client_id") == F.col("e.client_id")) & (F.col("d.metric") == F.col("e.metric")) & (F.col("e.success_dt") >= F.col("d.start_dt")) & (F.col("e.success_dt") <= F.col("d.end_dt")))
-    first = hit.groupBy(key).agg(F.min("e.success_dt").alias("success_dt"))
-    return population.join(first, key, "left").withColumn("success", F.when(F.col("success_dt").isNotNull(), 1).otherwise(0))
+    of_metric = F.array_contains("e.metrics", F.col("d._metric")) if "metrics" in events.columns else F.col("d._metric") == F.col("e.metric")
+    hit = d.join(e, (F.col("d.client_id") == F.col("e.client_id")) & of_metric & (F.col("e.success_dt") >= F.col("d.start_dt")) & (F.col("e.success_dt") <= F.col("d.end_dt")), "left")
+    # The client and metric come first among the keys: the join has dealt the rows out by them.
+    rows = hit.groupBy(*[F.col(f"d.`{c}`").alias(c) for c in dict.fromkeys([*population.columns, "_metric"])]).agg(F.min("e.success_dt").alias("success_dt"))
+    return rows.select(*population.columns, "success_dt", F.when(F.col("success_dt").isNotNull(), 1).otherwise(0).alias("success"))
 
 
 def metric_flags(population: DataFrame, events: DataFrame, metrics: list[str], key: str = "decision_id") -> DataFrame:
     """Deployments with, for each metric, a flag (0/1) and the first date inside the window: one join for all metrics."""
-    d, e = population.select(key, "client_id", "start_dt", "end_dt").alias("d"), events.where(F.col("metric").isin(*metrics)).alias("e")
-    hit = d.join(e, (F.col("d.client_id") == F.col("e.client_id")) & F.col("e.success_dt").between(F.col("d.start_dt"), F.col("d.end_dt")))
-    first = hit.groupBy(key).agg(*[F.min(F.when(F.col("metric") == m, F.col("success_dt"))).alias(f"{m}_dt") for m in metrics])
-    df = population.join(first, key, "left")
+    d, e = population.alias("d"), events.where(F.col("metric").isin(*metrics)).alias("e")
+    hit = d.join(e, (F.col("d.client_id") == F.col("e.client_id")) & F.col("e.success_dt").between(F.col("d.start_dt"), F.col("d.end_dt")), "left")
+    df = hit.groupBy(*[F.col(f"d.`{c}`").alias(c) for c in population.columns]).agg(*[F.min(F.when(F.col("e.metric") == m, F.col("e.success_dt"))).alias(f"{m}_dt") for m in metrics])
     return df.withColumns({m: F.when(F.col(f"{m}_dt").isNotNull(), 1).otherwise(0) for m in metrics})
 
 

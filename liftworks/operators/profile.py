@@ -16,9 +16,27 @@ def one_snapshot(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("client_id", "month_end").agg(F.max(F.struct(*names)).alias("_p")).select("client_id", "month_end", "_p.*")
 
 
-def enriched(df: DataFrame, profiles: DataFrame, cap: str) -> DataFrame:
-    """Deployments with their client's profile at the start's month-end, at most the latest snapshot; none is lost, none doubled."""
-    return df.withColumn("month_end", C.month_end("start_dt", cap)).join(one_snapshot(profiles), ["client_id", "month_end"], "left")
+def guarded(profiles: DataFrame) -> DataFrame:
+    """The snapshots, or an error while they are read where a client has two of one month-end: a join with them can double no row."""
+    names = [c for c in profiles.columns if c not in ("client_id", "month_end")]
+    told = F.raise_error(F.concat(F.lit("profile: two snapshots of client "), F.coalesce("client_id", F.lit("?")), F.lit(" on "), F.coalesce(F.col("month_end").cast("string"), F.lit("?"))))
+    rows = profiles.groupBy("client_id", "month_end").agg(F.count("*").alias("_n"), F.max(F.struct(*names)).alias("_p"))
+    return rows.select("client_id", "month_end", F.when(F.col("_n") == 1, F.col("_p")).otherwise(told.cast(rows.schema["_p"].dataType)).alias("_p")).select("client_id", "month_end", "_p.*")
+
+
+def enriched(df: DataFrame, profiles: DataFrame, cap: str, strict: bool = False) -> DataFrame:
+    """Deployments with their client's profile at the start's month-end, at most the latest snapshot; none is lost, none doubled.
+
+    strict: two snapshots of a client and month-end are an error instead of the larger one."""
+    snapshots = guarded(profiles) if strict else one_snapshot(profiles)
+    return df.withColumn("month_end", C.month_end("start_dt", cap)).join(snapshots, ["client_id", "month_end"], "left")
+
+
+def of_months(profiles: DataFrame, df: DataFrame, cap: str) -> DataFrame:
+    """The snapshots of the month-ends that the deployments ask for. The months, at most one for each of the calendar, are sent to all tasks,
+    and where the table is partitioned by month_end Spark reads their partitions alone."""
+    months = df.select(C.month_end("start_dt", cap).alias("month_end")).where(F.col("month_end") <= F.lit(cap).cast("date")).distinct()
+    return profiles.join(F.broadcast(months), "month_end", "left_semi")
 
 
 def of_listed(profiles: DataFrame, clients: DataFrame) -> DataFrame:
@@ -65,6 +83,18 @@ def email_flags(feedback: DataFrame) -> DataFrame:
     )
 
 
+def feedback_of(master: DataFrame, event: DataFrame, tactics: DataFrame) -> DataFrame:
+    """client_id, treatment, disposition, day from the vendor's two tables: master (hashed_id, treatment, client_no) and event (hashed_id,
+    treatment, disposition, at), which meet on both keys, for the treatments among the tactic ids.
+
+    Both tables are cut down to these treatments before they meet, so what is shuffled for the join follows the campaigns, not the
+    vendor's tables. A master row that is there twice, or a tactic id that two report groups share, doubles rows here but none of
+    `email_flags`, which is one aggregate per client and treatment."""
+    ids = tactics.select(F.col("tactic_id").alias("treatment")).distinct()
+    m, e = (t.join(ids, "treatment", "left_semi") for t in (master, event))
+    return m.join(e, ["hashed_id", "treatment"]).select(C.client_key("client_no").alias("client_id"), "treatment", "disposition", F.to_date("at").alias("day"))
+
+
 def email_funnel(population: DataFrame, flags: DataFrame) -> DataFrame:
     """Funnel by treatment and in all (grouping sets) over a population of (client, treatment); rates (%) of sent."""
     rows = population.join(flags, ["client_id", "treatment"], "left").na.fill(0, ["sent", "opened", "clicked", "unsubscribed"])

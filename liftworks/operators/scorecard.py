@@ -90,20 +90,3 @@ def export_all(df: DataFrame, txns: DataFrame, folder: str) -> None:
         df, txns = staged(df), staged(txns)
         for name, rows in (("scorecard", scorecard(df, txns)), ("detail", detail(df)), ("curves", exports(df, txns))):
             readers.save_csv(rows, f"{folder.rstrip('/')}/{name}")
-
-
-def importance(df: DataFrame, least: int = 100) -> DataFrame:
-    """campaign, feature, importance: a decision tree (depth 4) per campaign on contact number, channel and age for success, action arm; none
-    for campaigns under `least` deployments. The rows are written once; Spark fits the trees, one campaign after the other."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    spark, names, found = df.sparkSession, ["seq", "channel_index", "age"], []
-    with temporaries():
-        rows = staged(contact.sequenced(df).where("arm = 'action'").select("campaign", "seq", "channel", F.coalesce("age", F.lit(-1)).alias("age"), F.col("success").cast("double").alias("label")))
-        for r in rows.groupBy("campaign").count().where(F.col("count") >= least).orderBy("campaign").collect():  # a row per campaign
-            stages = [StringIndexer(inputCol="channel", outputCol="channel_index", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="x"), DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=4, seed=1)]
-            tree = Pipeline(stages=stages).fit(rows.where(F.col("campaign") == r["campaign"])).stages[-1]
-            found += [(r["campaign"], n, float(v)) for n, v in zip(names, tree.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(found, "campaign string, feature string, importance double")

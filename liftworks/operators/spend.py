@@ -15,10 +15,10 @@ def pre_post(first: DataFrame, txns: DataFrame, *by: str, anchor: str = "start_d
     d = first.where(F.col(anchor).isNotNull()).withColumn("_at", F.col(anchor)).withColumn("_from", F.date_sub(anchor, F.lit(pre_days) if pre_days is not None else F.col("window_days")))
     d = d.withColumn("_to", F.date_add(anchor, F.lit(post_days)) if post_days is not None else F.col("end_dt")).select("decision_id", "client_id", *by, "_at", "_from", "_to").alias("d")
     t = txns.alias("t")
-    hit = d.join(t, (F.col("d.client_id") == F.col("t.client_id")) & (F.col("t.txn_dt") >= F.col("d._from")) & (F.col("t.txn_dt") <= F.col("d._to")))
-    before = F.col("t.txn_dt") < F.col("d._at")
-    sums = hit.groupBy("decision_id").agg(*[F.sum(F.when(c, v)).alias(n) for n, c, v in (("pre_spend", before, F.col("t.amount")), ("post_spend", ~before, F.col("t.amount")), ("pre_txns", before, F.lit(1)), ("post_txns", ~before, F.lit(1)))])
-    rows = d.join(sums, "decision_id", "left")
+    hit = d.join(t, (F.col("d.client_id") == F.col("t.client_id")) & (F.col("t.txn_dt") >= F.col("d._from")) & (F.col("t.txn_dt") <= F.col("d._to")), "left")
+    before, after = F.col("t.txn_dt") < F.col("d._at"), F.col("t.txn_dt") >= F.col("d._at")
+    # The join has dealt the rows out by client; the sums of a deployment are made there.
+    rows = hit.groupBy("d.client_id", "d.decision_id", *[F.col(f"d.{c}").alias(c) for c in by]).agg(*[F.sum(F.when(c, v)).alias(n) for n, c, v in (("pre_spend", before, F.col("t.amount")), ("post_spend", after, F.col("t.amount")), ("pre_txns", before, F.lit(1)), ("post_txns", after, F.lit(1)))])
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return rows.groupBy(*by).agg(F.count("*").alias("clients"), total("pre_spend").cast(MONEY).alias("pre_spend"), total("post_spend").cast(MONEY).alias("post_spend"), total("pre_txns").cast("long").alias("pre_txns"), total("post_txns").cast("long").alias("post_txns"))
 
@@ -42,9 +42,8 @@ def after_success(df: DataFrame, txns: DataFrame, *by: str) -> DataFrame:
     """Spend from success to the window's end per successful deployment; those without any stay in the averages."""
     d = df.where("success = 1").select("decision_id", "client_id", *by, "success_dt", "end_dt").alias("d")
     t = txns.alias("t")
-    hit = d.join(t, (F.col("d.client_id") == F.col("t.client_id")) & F.col("t.txn_dt").between(F.col("d.success_dt"), F.col("d.end_dt")))
-    sums = hit.groupBy("decision_id").agg(F.sum("t.amount").alias("spend"), F.count("*").alias("txns"))
-    rows = d.join(sums, "decision_id", "left")
+    hit = d.join(t, (F.col("d.client_id") == F.col("t.client_id")) & F.col("t.txn_dt").between(F.col("d.success_dt"), F.col("d.end_dt")), "left")
+    rows = hit.groupBy("d.client_id", "d.decision_id", *[F.col(f"d.{c}").alias(c) for c in by]).agg(F.sum("t.amount").alias("spend"), F.nullif(F.count("t.txn_dt"), F.lit(0)).alias("txns"))
     return rows.groupBy(*by).agg(F.count("*").alias("successes"), F.count("spend").alias("with_spend"), F.coalesce(F.sum("spend"), F.lit(0)).cast(MONEY).alias("spend"), F.coalesce(F.sum("txns"), F.lit(0)).alias("txns")).withColumn("avg_spend", F.col("spend").cast("double") / F.col("successes"))
 
 

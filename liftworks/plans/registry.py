@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from liftworks import config as K
 from liftworks.functions import columns as C
 from liftworks.functions import stats as S
-from liftworks.operators import contact, effect, population, profile, quality, scorecard, spend, vintage
+from liftworks.operators import contact, effect, population, profile, quality, scorecard, spend, tree, vintage
 from liftworks.sources import fixtures as X
 from liftworks.sources import readers
 
@@ -171,7 +171,9 @@ _CONS = f"SELECT *, round({_VALUE}, 2)::DOUBLE AS value, {_ELIGIBLE} AS eligibil
 add("e3_consolidated", on_att(scorecard.consolidated), q(_CONS))
 add("e4_consolidated_lite", on_att(lambda d: scorecard.consolidated(d).where("cohort <> 'ALL' AND report_group = 'ALL'").drop("report_group")), q(f"SELECT * EXCLUDE (report_group) FROM ({_CONS}) WHERE cohort <> 'ALL' AND report_group = 'ALL'"))
 add("e14_value_totals", on_att(lambda d: scorecard.value_totals(scorecard.consolidated(d))), q(f"SELECT eligibility, count(*) AS campaigns, round(sum(value), 2) AS value FROM ({_CONS}) WHERE cohort = 'ALL' AND report_group = 'ALL' GROUP BY 1"))
-add("t9_importance", lambda s, d: scorecard.importance(rich(s, d)))
+TREE = "tcl AS (SELECT campaign, contacts, channel, age, success FROM (SELECT *, count(*) OVER (PARTITION BY client_id, campaign) AS contacts, row_number() OVER (PARTITION BY client_id, campaign ORDER BY start_dt, tactic_id, decision_id) AS rn FROM rich WHERE arm = 'action') WHERE rn = 1)," + tree.sql("tcl")
+add("t9_importance", lambda s, d: tree.importance(rich(s, d)), q("SELECT campaign, feature, importance FROM importance", TREE))
+add("t9_splits", lambda s, d: tree.splits(rich(s, d))[0].withColumn("gain", F.round("gain", 6)), q("SELECT campaign, level::BIGINT AS level, node::BIGINT AS node, feature, cut::BIGINT AS cut, round(gain, 6) AS gain FROM splits", TREE))
 
 # --- channels, report groups -----------------------------------------------------------------------------------------------------
 
@@ -248,6 +250,7 @@ add("v2_fiscal_curves", on_att(vintage.fiscal_curves), q(_curve("campaign, fisca
 add("v4_client_curves", on_att(lambda d: vintage.curves(d, ("campaign", "cohort", "arm"), unit="client")), q(_curve("campaign, cohort, arm", unit="client")))
 _CA = _curve("campaign, arm")
 add("v5_ramp", on_att(lambda d: vintage.ramp(vintage.curves(d, ("campaign", "arm")))), q(f"SELECT campaign, arm, min(day) FILTER (WHERE rate >= 0.5 * top) AS day_50, min(day) FILTER (WHERE rate >= 0.9 * top) AS day_90 FROM (SELECT *, max(rate) OVER (PARTITION BY campaign, arm) AS top FROM ({_CA})) WHERE top > 0 GROUP BY ALL"))
+add("v5_ramp_by_cohort", on_att(lambda d: vintage.ramp(vintage.curves(d, ("campaign", "cohort", "arm")), by=("campaign", "cohort", "arm"))), q(f"SELECT campaign, cohort, arm, min(day) FILTER (WHERE rate >= 0.5 * top) AS day_50, min(day) FILTER (WHERE rate >= 0.9 * top) AS day_90 FROM (SELECT *, max(rate) OVER (PARTITION BY campaign, cohort, arm) AS top FROM ({_curve('campaign, cohort, arm')})) WHERE top > 0 GROUP BY ALL"))
 add("v6_v7_fixed_grid", on_att(lambda d: vintage.curves(d.where("campaign = 'ACQ'"), ("campaign", "cohort", "arm"), days=30, unit="client")), q(_curve("campaign, cohort, arm", "acq", "30", "client"), "acq AS (SELECT * FROM att WHERE campaign = 'ACQ')"))
 _FQ2 = "'FY' || year(CAST(cohort || '-01' AS DATE) + INTERVAL 2 MONTH) || 'Q' || quarter(CAST(cohort || '-01' AS DATE) + INTERVAL 2 MONTH)"
 add("r1_to_fiscal", on_att(lambda d: vintage.to_fiscal(vintage.curves(d, ("campaign", "cohort", "arm")))), q(f"SELECT campaign, {_FQ2} AS fiscal, arm, day, sum(client_cnt)::BIGINT AS client_cnt, sum(success_cnt)::BIGINT AS success_cnt, {r('sum(success_cnt)', 'sum(client_cnt)')} AS rate FROM ({_curve('campaign, cohort, arm')}) GROUP BY ALL"))
@@ -302,4 +305,4 @@ add("q9_sample", on_att(quality.sample), q("SELECT campaign, arm, success::BIGIN
 add("q11_keys_agree", lambda s, d: quality.keys_agree(dep(s, d), X.transactions(s, d)), q("SELECT count(*) FILTER (WHERE x AND y) AS \"both\", count(*) FILTER (WHERE x AND y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b FROM (SELECT DISTINCT client_id, true AS x FROM dep) FULL JOIN (SELECT DISTINCT client_id, true AS y FROM txn) USING (client_id)"))
 add("e12_curve_export", with_txns(scorecard.exports), q(f"SELECT campaign, cohort, arm, 'vintage' AS curve_type, day, rate AS value, client_cnt AS n FROM ({_curve('campaign, cohort, arm')}) UNION ALL SELECT campaign, 'ALL', arm, 'velocity', day, per_success, successes FROM ({_VEL})"))
 
-from liftworks.plans import reports  # noqa: E402, F401  the further reports register themselves here
+from liftworks.plans import kept, reports  # noqa: E402, F401  the further queries register themselves here

@@ -112,3 +112,17 @@ def token_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requestors of wallets: requestor, wallet (Y or N)."""
     rows = table(spark, sf_dir, "part").select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("n"), "p_partkey", F.when(F.col("p_size") <= 20, "Y").otherwise("N").alias("wallet"))
     return rows.select(F.concat(F.col("n").cast("string"), F.lit("-"), F.col("p_partkey").cast("string")).alias("requestor"), "wallet")
+
+
+def feedback_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The e-mail vendor's two tables, keyed by hashed client and treatment: master (with the client's number, padded) has a row per order,
+    twice for every fifth, and one per user and week of `events`, whose treatments are no tactic of ours; event has their lines and events."""
+    hashed = lambda c: F.md5(F.concat(F.lit("mail:"), F.col(c).cast("string")).cast("binary"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.date_format("o_orderdate", "yyyyDDD"), F.expr(case("o_orderpriority", CODES))).alias("treatment"))
+    weeks = table(spark, sf_dir, "events").select("user_id", F.date_format(F.date_trunc("week", "ts"), "yyyyDDD'WEB'").alias("treatment"), F.expr(case("event_type", {"signup": 1, "view": 2, "click": 3, "error": 4})).alias("disposition"), F.col("ts").cast("timestamp").alias("at"))
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1)))
+    ours = orders.select(hashed("o_custkey").alias("hashed_id"), "treatment", F.concat(F.lpad(F.col("o_custkey").cast("string"), 12, "0"), F.lit(" ")).alias("client_no"), twice.alias("n")).drop("n")
+    master = ours.unionByName(weeks.select(hashed("user_id").alias("hashed_id"), "treatment", F.lpad(F.col("user_id").cast("string"), 12, "0").alias("client_no")).distinct())
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("disposition"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    event = lines.join(orders, "o_orderkey").select(hashed("o_custkey").alias("hashed_id"), "treatment", "disposition", "at").unionByName(weeks.select(hashed("user_id").alias("hashed_id"), "treatment", "disposition", "at"))
+    return master, event

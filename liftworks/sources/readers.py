@@ -25,12 +25,29 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: obj
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions), **options).load()
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table, or a typed empty one where the path does not exist; other errors are raised."""
+def read_jdbc_whole(spark: SparkSession, url: str, table: str, column: str, partitions: int, **options: str) -> DataFrame:
+    """A database table read by ranges of a column whose ends the database is asked for; an empty table by one task."""
+    ends = spark.read.format("jdbc").options(url=url, query=f'SELECT min("{column}") AS lo, max("{column}") AS hi FROM {table}', **options).load().first()
+    if ends[0] is None:
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    return read_jdbc(spark, url, table, column, *ends, partitions, **options)
+
+
+def warehouse(spark: SparkSession, name: str, url: str, driver: str, **options: str) -> str:
+    """Make a database known as the catalog `name` (the name is given back): `spark.table("name.SCHEMA.TABLE")` then has its filters, projections,
+    aggregates and limits worked out by the database, and only results travel."""
+    kind = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"
+    for key, value in {"": kind, ".url": url, ".driver": driver, ".pushDownAggregate": "true", ".pushDownLimit": "true", **{f".{k}": v for k, v in options.items()}}.items():
+        spark.conf.set(f"spark.sql.catalog.{name}{key}", value)
+    return name
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str, typed: bool = False) -> DataFrame:
+    """A table, or a typed empty one where the path does not exist; other errors are raised. typed: the schema is the files' too."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if typed else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
