@@ -5,7 +5,8 @@ DEPTH values. In each order, a node's candidates are its next NEIGHBOURS nodes t
 depth adapts to how crowded a region is. Candidates whose signatures agree enough are checked on their full sets: first each node's
 most promising ones, then all others that would still join two components. Regions (nodes alike in half of an order's values) more
 crowded than NEIGHBOURS, whose nodes did not all come together, are gone through exactly: nodes outside a region's main component meet
-all of that component's and the region's nodes, block by block, on their full sets.
+all of that component's and the region's nodes on their full sets. Which of these nodes can have a link to another component at all is
+settled first, by prefix, length and positional filters over shingles in an order of frequency; only those that can meet, block by block.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ AGREE = 30
 FIRST = 6
 #: Nodes of a block in the exact pass over crowded regions.
 REGION_BLOCK = 512
+#: Buckets of hashed shingle counts, by which shingles are ordered: their number bounds what the driver and each task hold of them.
+BUCKETS = 1 << 20
 _SEEDS = np.random.default_rng(2025).integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
@@ -229,6 +232,64 @@ def stragglers(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame
     return outside, whole.unionByName(outside).distinct()
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a shingle of each of BUCKETS hash buckets."""
+
+    def run(batches):
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for s in b.column("set").to_pylist():
+                np.add.at(n, (np.frombuffer(s, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+
+    rows = sets.select("set").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, seen: np.ndarray) -> DataFrame:
+    """token, id, size, most: the first shingles of each set (id, set), rarest first, of which two sets in link share one at least.
+
+    most: the largest size of a set that could link with this one if the token is the first that they share."""
+    seen = sets.sparkSession.sparkContext.broadcast(seen)  # BUCKETS numbers
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], []]
+            for i, raw in zip(b.column("id").to_pylist(), b.column("set").to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                order = np.lexsort((s, seen.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))
+                n = len(s)
+                first = order[: n + 1 - (LINK * n + 99) // 100]
+                left = n - np.arange(len(first))  # shingles from there on: a link needs LINK / (100 + LINK) of both sizes
+                for c, x in zip(out, (s[first].view(np.int64), np.full(len(first), i), np.full(len(first), n), (100 + LINK) * left // LINK - n), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], ["token", "id", "size", "most"])
+
+    return sets.select("id", "set").mapInArrow(run, "token long, id long, size long, most long")
+
+
+def reachable(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """id of the nodes among the sets (id, set) that the filters leave with a possible link to a node of another component (id, root).
+
+    Of all that share a token and are of one size, the two components of the largest `most` say whether there is one: so a list of any
+    length is summed up before it is shuffled, and what meets it are its sizes, not its nodes."""
+    rows = staged(prefixes(sets, frequencies(sets)).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    tops = rows.groupBy("token", "size", "root").agg(F.max("most").alias("most"))
+    w = Window.partitionBy("token", "size").orderBy(F.desc("most"), "root")
+    tops = tops.withColumn("_n", F.row_number().over(w)).where("_n <= 2").drop("_n")
+    # Sizes in link lie within a ratio of 3 to 4, so in the same band of that width or the next ones.
+    band = F.floor(F.log(F.col("size")) / F.log(F.lit(100.0 / LINK)) + 1e-9).cast("int")
+    lists = tops.select("token", F.struct("size", "most", "root").alias("x"), F.explode(F.array(*[band + d for d in (-1, 0, 1)])).alias("band"))
+    lists = lists.groupBy("token", "band").agg(F.collect_set("x").alias("xs"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("token", "band", "xs")
+    e, t = rows.withColumn("band", band).alias("e"), lists.alias("t")
+    fits = lambda x: (x["root"] != F.col("e.root")) & (x["size"] <= F.col("e.most")) & (x["most"] >= F.col("e.size"))
+    met = (F.col("e.token") == F.col("t.token")) & (F.col("e.band") == F.col("t.band")) & F.exists(F.col("t.xs"), fits)
+    return e.join(t, met, "left_semi").select("id").distinct()
+
+
 def met(outside: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between stragglers and what they have to meet, in blocks, by products of 0/1 matrices over shared shingles.
 
@@ -312,10 +373,12 @@ def _classes(documents: DataFrame, described_: DataFrame) -> DataFrame:
         outside, whole = stragglers(trees, roots.withColumnRenamed("node", "id"))
         if not outside.isEmpty():
             whole = staged(whole)
-            extra = staged(whole.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
+            inside = staged(whole.select("id").distinct())
+            extra = staged(inside.join(sets.select("id"), "id", "left_anti"))
             if not extra.isEmpty():
                 sets = sets.unionByName(staged(sets_of(documents, extra.join(ids, "id"))))
-            more = staged(met(outside, whole, sets))
+            can = staged(reachable(sets.join(inside, "id", "left_semi"), roots.withColumnRenamed("node", "id")))
+            more = staged(met(staged(outside.join(can, "id", "left_semi").select("main", "id")), staged(whole.join(can, "id", "left_semi").select("main", "id")), sets))
             if not more.isEmpty():
                 roots = joined(more)
         classes = staged(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))

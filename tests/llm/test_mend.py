@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 from datetime import date
 
+import numpy as np
 import pytest
 
-from liftworks.llm import mixing, pii
+from liftworks.llm import minhash, mixing, pii
 
 CLASH = ("a29685295 word", "a32060020 word")
 
@@ -134,3 +135,57 @@ def test_findings_of_the_test_tables(spark):
 def test_a_missing_key_is_told(spark):
     with pytest.warns(UserWarning, match="key"):
         assert pii.key_of(spark) == pii.KEY
+
+
+# --- crowded regions ---------------------------------------------------------------------------------------------------------------
+
+
+def linkable(a, b):
+    n = len(a & b)
+    return 100 * n >= 75 * (len(a) + len(b) - n)
+
+
+@pytest.mark.parametrize("buckets", [1 << 20, 7])
+def test_filters_leave_every_node_with_a_link(spark, monkeypatch, buckets):
+    """Random sets of all sizes around the threshold: whoever has a link to another component is left, whatever the order of shingles."""
+    monkeypatch.setattr(minhash, "BUCKETS", buckets)
+    rng, sets = random.Random(buckets), []
+    for _ in range(40):
+        base = [rng.randrange(1 << 62) for _ in range(rng.choice([1, 2, 3, 4, 7, 8, 20, 41, 160]))]
+        for _ in range(rng.randrange(1, 7)):
+            s = [x for x in base if rng.random() > 0.1] + [rng.randrange(1 << 62) for _ in range(rng.randrange(1 + len(base) // 6))]
+            if s:
+                sets.append(frozenset(s))
+    roots = {k: rng.randrange(0, k + 1, 1) if rng.random() < 0.3 else k for k in range(len(sets))}
+    want = {a for a in range(len(sets)) for b in range(len(sets)) if roots[a] != roots[b] and linkable(sets[a], sets[b])}
+    frame = spark.createDataFrame([(k, bytearray(np.sort(np.array(list(s), np.uint64)).tobytes())) for k, s in enumerate(sets)], "id long, set binary")
+    left = {r["id"] for r in minhash.reachable(frame, spark.createDataFrame(list(roots.items()), "id long, root long")).collect()}
+    assert want <= left and len(want) > 20
+
+
+def templated(rng, n, own, size=120):
+    """Pages of one template, each with `own` words changed: pairwise under the threshold for 4 and more."""
+    base, out = [f"t{k}" for k in range(size)], []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(4, size - 5, 5), own):
+            w[at] = f"y{rng.randrange(10**9)}"
+        out.append(w)
+    return out
+
+
+def test_work_in_a_crowded_region_grows_with_its_nodes(spark, monkeypatch):
+    """Pages of one template, pairwise some 0.7 alike: nearly none has to meet another, however many there are."""
+    monkeypatch.setattr(minhash, "REGION_BLOCK", 64)
+    seen, own = [], minhash.met
+
+    def counted(outside, whole, sets):
+        seen.append((outside.count(), whole.count()))
+        return own(outside, whole, sets)
+
+    monkeypatch.setattr(minhash, "met", counted)
+    for n in (300, 1200):
+        docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(templated(random.Random(1), n, 4))], "doc_id long, text string")
+        assert minhash.near_duplicates(docs).where("NOT kept").count() == 0
+    (a, b), (c, d) = seen
+    assert a + b <= 30 and c + d <= 4 * max(a + b, 30)
