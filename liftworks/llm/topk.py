@@ -4,7 +4,8 @@ A query's dimensions are its terms. In a stretch of a shard, a term adds at leas
 Terms are ordered by bound. The last ones whose bounds together cannot lift a vector to the query's k-th best score so far, theta,
 are non-essential: the essential ones are traversed for all vectors of the stretch, the others probed in turn, only for vectors that
 stay competitive. theta starts with the k-th best score among a small seed of vectors, rises from stretch to stretch, and moves the
-essential line with it. Shards and query blocks meet by key, and the shards' best rows are merged by Spark.
+essential line with it. Each vector goes to one shard, once; the queries stream past every shard, and the shards' best rows are merged
+by Spark.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from liftworks.llm.common import small_batches, table
 
 K, QUERY_STEP = 5, 50
-#: Components (of 8 bytes) of a shard's vectors and of a query block, at most: they bound what a task holds. Where there is less,
+#: Components (of 8 bytes) of a shard's vectors, about: they bound what a task holds, with a batch of queries. Where there is less,
 #: shards have LEAST vectors at least and are as many as SPREAD x the cores.
-SHARD, BLOCK, LEAST, SPREAD = 1 << 22, 1 << 20, 2048, 2
+SHARD, LEAST, SPREAD = 1 << 22, 2048, 2
 #: Vectors of a shard gone through before theta is raised, terms probed between two looks at who is still competitive, and components
 #: of the seed that gives the first theta.
 STRETCH, PROBE, SEED = 4096, 8, 1 << 15
@@ -109,10 +110,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     small_batches(spark)
     vectors, queries = (x.select("vec_id", "v").where("vec_id IS NOT NULL AND v IS NOT NULL") for x in (vectors, queries))
     n, d = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    m, e = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    width = max(d, e, 1)
+    width = max(d, queries.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0], 1)
     shards = max(-(-n * width // SHARD), min(SPREAD * spark.sparkContext.defaultParallelism, n // LEAST), 1)
-    blocks = max(-(-m * width // BLOCK), 1)
 
     def padded(rows: pa.ChunkedArray) -> np.ndarray:
         c = rows.combine_chunks()
@@ -136,29 +135,47 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     chosen = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(2 * k, SEED // width)).toArrow()
     seed_ids, seed = chosen.column("vec_id").to_numpy(), padded(chosen.column("v"))
 
-    part = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
-    v = vectors.select("*", part(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.select("*", part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if len(left) and len(right):
-            ids, query_ids, queries = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy(), padded(right.column("v"))
-            first = thresholds(seed_ids, seed, query_ids, queries) if len(seed_ids) else [None] * len(query_ids)
-            vectors, queries = in_exact_numbers(padded(left.column("v")), queries)
-            shard = Shard(ids, vectors)
-            for q, w, theta in zip(query_ids.tolist(), queries, first, strict=True):
-                for i, s in zip(*shard.best(q, w, theta, k), strict=True):
-                    if abs(s) >= 1 << 63:
-                        raise OverflowError(f"topk: a score of query {q} does not fit a long")
-                    rows.append((q, int(i), int(s)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    # Few groups of much work: they are dealt out as they are, not put together by their bytes.
-    tasks = shards * blocks + 3 * min(shards * blocks, 100)
-    v, q = v.repartition(tasks, "shard", "block"), q.repartition(tasks, "shard", "block")
-    best = v.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+    v = vectors.select("*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"))
+    q = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"))
+
+    def found(shard: dict, rows: pa.RecordBatch, vectors: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        query_ids, queries = rows.column("vec_id").to_numpy(), padded(pa.chunked_array([rows.column("v")]))
+        first = thresholds(seed_ids, seed, query_ids, queries) if len(seed_ids) else [None] * len(query_ids)
+        whole, queries = in_exact_numbers(vectors, queries)
+        if whole.dtype not in shard:
+            shard[whole.dtype] = Shard(ids, whole)
+        out = []
+        for q, w, theta in zip(query_ids.tolist(), queries, first, strict=True):
+            for i, s in zip(*shard[whole.dtype].best(q, w, theta, k), strict=True):
+                if abs(s) >= 1 << 63:
+                    raise OverflowError(f"topk: a score of query {q} does not fit a long")
+                out.append((q, int(i), int(s)))
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        """Of each shard first its vectors come, which are held, then the queries in batches."""
+        at, held, ready, ids, vectors = None, [], {}, None, None
+        for b in batches:
+            keys, is_query = b.column("shard").to_numpy(), b.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (is_query[1:] != is_query[:-1])) + 1 if len(keys) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if hi == lo:
+                    continue
+                rows = b.slice(lo, hi - lo)
+                if keys[lo] != at:
+                    at, held, ready, vectors = keys[lo], [], {}, None
+                if not is_query[lo]:
+                    held.append(rows)
+                elif held:
+                    if vectors is None:
+                        table_ = pa.Table.from_batches(held)
+                        ids, vectors = table_.column("vec_id").to_numpy(), padded(table_.column("v"))
+                    yield found(ready, rows, vectors, ids)
+
+    # Few shards of much work: they are dealt out as they are, not put together by their bytes.
+    dealt = v.unionByName(q).repartition(shards + 3 * min(shards, 100), "shard").sortWithinPartitions("shard", "query", "vec_id")
+    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -9,7 +9,7 @@ from datetime import date
 import numpy as np
 import pytest
 
-from liftworks.llm import minhash, mixing, pii
+from liftworks.llm import minhash, mixing, pii, topk
 
 CLASH = ("a29685295 word", "a32060020 word")
 
@@ -189,3 +189,22 @@ def test_work_in_a_crowded_region_grows_with_its_nodes(spark, monkeypatch):
         assert minhash.near_duplicates(docs).where("NOT kept").count() == 0
     (a, b), (c, d) = seen
     assert a + b <= 30 and c + d <= 4 * max(a + b, 30)
+
+
+# --- top-k -------------------------------------------------------------------------------------------------------------------------
+
+
+def test_vectors_move_once_to_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 64)
+    rng = np.random.default_rng(8)
+    data = [(int(rng.integers(60)), [float(x) for x in rng.normal(0, 0.3, 16)]) for _ in range(150)]
+    df = topk.whole(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    out = topk.search(df, df.where("vec_id % 3 = 0"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # of the queries: a vector's row is never repeated
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in data]
+    want = []
+    for q in {i for i, _ in whole if i % 3 == 0}:
+        scores = sorted((-int(w @ v), i) for j, w in whole if j == q for i, v in whole if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
