@@ -75,7 +75,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """One row per slot: source index, its rank within the source (from 0), words of a slot."""
+    """One row per slot: source index, its rank within the source (from 0), words of a slot, slot (its place in the mix, from 0)."""
     spark = sources.sparkSession
     one = sources.select("total", "block").limit(1).collect()  # two numbers
     total, block = (one[0][0] or 0, one[0][1]) if one else (0, LEAST_BLOCK)
@@ -88,7 +88,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     per = drawn.groupBy("index", "chunk").agg(F.count("*").alias("n"))
     before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("index").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("index", "chunk").orderBy("slot")))
-    return ranked.join(before, ["index", "chunk"]).select("index", (F.col("base") + F.col("_n") - 1).alias("rank"), F.lit(block).cast("long").alias("block"))
+    return ranked.join(before, ["index", "chunk"]).select("index", (F.col("base") + F.col("_n") - 1).alias("rank"), F.lit(block).cast("long").alias("block"), "slot")
 
 
 def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -107,47 +107,49 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document (and source, index, tie, at)."""
+    """doc_id, size, source_size, target, taken of every document (and source, index, tie, at), slot and slot_2: where in the mix its words
+    begin, and where they begin again; null where they are not taken, or not twice."""
     sizes = staged(sized(documents))
     sources = staged(targets(sizes))
     placed = staged(streams(sizes, sources))
     first, words = F.col("at") + F.col("copy") * F.col("source_size"), F.col("size")
     blocks = placed.where("size > 0").select("index", "at", "size", "source_size", "block", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("copy"))
-    blocks = blocks.select("index", "at", first.alias("first"), (first + words).alias("end"), "block", F.explode(F.sequence(F.floor(first / F.col("block")), F.floor((first + words - 1) / F.col("block")))).alias("rank"))
+    blocks = blocks.select("index", "at", "copy", first.alias("first"), (first + words).alias("end"), "block", F.explode(F.sequence(F.floor(first / F.col("block")), F.floor((first + words - 1) / F.col("block")))).alias("rank"))
     slots = schedule(sources)
     got = blocks.join(slots.drop("block"), ["index", "rank"])
     lo, hi = F.greatest("first", F.col("rank") * F.col("block")), F.least("end", (F.col("rank") + 1) * F.col("block"))
-    taken = got.groupBy("index", "at").agg(F.sum(hi - lo).alias("taken"))
-    empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    taken = got.groupBy("index", "at").agg(F.sum(hi - lo).alias("taken"), F.min(F.when(F.col("copy") == 0, F.col("slot"))).alias("slot"), F.min(F.when(F.col("copy") > 0, F.col("slot"))).alias("slot_2"))
+    empty = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), **{c: F.lit(None).cast("long") for c in ("slot", "slot_2")}})
     rows = placed.where("size > 0").join(taken, ["index", "at"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    names = ["doc_id", "size", "source_size", "target", "taken", "source", "index", "tie", "at"]
+    names = ["doc_id", "size", "source_size", "target", "taken", "slot", "slot_2", "source", "index", "tie", "at"]
     return rows.select(*names).unionByName(empty.select(*names))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed: doc_id, size, source_size, target, taken."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """All documents mixed: doc_id, size, source_size, target, taken, slot (where in the mix its words begin; null if none are taken)."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
-def mixed(documents: DataFrame) -> DataFrame:
+def mixed(documents: DataFrame, slot: str | None = None) -> DataFrame:
     """The mix as documents, in their own columns: a document stands once for each time its words are taken, the last copy cut after
     its last taken word; what is not taken is left out. Rows alike in id, source and text are one row that takes the sum.
 
-    Null and empty texts take nothing and are left out. Columns of any name are carried along."""
-    takes = mix(documents).groupBy("doc_id", "source", "size", "tie").agg(F.sum("taken").alias("taken")).where("taken > 0")
+    Null and empty texts take nothing and are left out. Columns of any name are carried along. slot: a further column of this name says
+    where in the mix a copy begins; read in this order, every part of the mix from the start on is close to the targets."""
+    takes = mix(documents).groupBy("doc_id", "source", "size", "tie").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"), F.min("slot_2").alias("slot_2")).where("taken > 0")
     # The documents' own columns go along in one struct: no name of theirs can clash.
     d = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), "doc_id", F.col("source").cast("string").alias("source"), _tie().alias("tie"))
     d = d.dropDuplicates(["doc_id", "source", "tie"]).alias("a")
     t = takes.alias("t")
     same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.tie") == F.col("t.tie")) & F.col("a.source").eqNullSafe(F.col("t.source"))
-    rows = d.join(t, same).select("d", "taken", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))).alias("copy"))
+    rows = d.join(t, same).select("d", "taken", "size", "slot", "slot_2", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))).alias("copy"))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words), "")
-    rows = rows.select("d", F.when(words < F.col("size"), cut).otherwise(F.col("d.text")).alias("text"))
+    rows = rows.select("d", F.when(words < F.col("size"), cut).otherwise(F.col("d.text")).alias("text"), F.when(F.col("copy") == 1, F.col("slot")).otherwise(F.coalesce("slot_2", "slot")).alias("slot"))
     own = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         own["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
-    return rows.select(*[own.get(c, F.col("d").getField(c)).alias(c) for c in documents.columns])
+    return rows.select(*[own.get(c, F.col("d").getField(c)).alias(c) for c in documents.columns], *([F.col("slot").alias(slot)] if slot else []))
 
 
 SQL = rf"""
@@ -161,10 +163,11 @@ t AS (SELECT source, index, source_size, least(cap::DOUBLE, coalesce(level * wei
 u AS (SELECT *, round(target)::BIGINT AS words, (sum(round(target)::BIGINT) OVER (ORDER BY index))::BIGINT AS hi_words, (SELECT sum(round(target)::BIGINT) FROM t)::BIGINT AS total FROM t),
 v AS (SELECT *, (hi_words - words)::DOUBLE / nullif(total, 0)::DOUBLE AS lo, hi_words::DOUBLE / nullif(total, 0)::DOUBLE AS hi, greatest({LEAST_BLOCK}, ceil(total / {float(SLOTS)}))::BIGINT AS block FROM u),
 slots AS (SELECT m, m * CAST('{GOLDEN}' AS DOUBLE) - floor(m * CAST('{GOLDEN}' AS DOUBLE)) AS x FROM (SELECT unnest(range((SELECT max((total + block - 1) // block) FROM v))) AS m)),
-given AS (SELECT index, count(*)::BIGINT AS n FROM slots JOIN v ON x >= lo AND x < hi GROUP BY index),
-p AS (SELECT doc_id, size, source_size, target, block, coalesce(n, 0) AS n,
+drawn AS (SELECT index, m, row_number() OVER (PARTITION BY index ORDER BY m) - 1 AS rank FROM slots JOIN v ON x >= lo AND x < hi),
+given AS (SELECT index, count(*)::BIGINT AS n FROM drawn GROUP BY index),
+p AS (SELECT doc_id, size, source_size, target, block, v.index, coalesce(n, 0) AS n,
         coalesce(sum(size) OVER (PARTITION BY v.index ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':mix:17'), doc_id, size, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
       FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source LEFT JOIN given USING (index))
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(pos + size, n * block) - pos) + greatest(0, least(pos + source_size + size, n * block) - pos - source_size))::BIGINT AS taken
-FROM p"""
+  (greatest(0, least(pos + size, n * block) - pos) + greatest(0, least(pos + source_size + size, n * block) - pos - source_size))::BIGINT AS taken, CASE WHEN size > 0 THEN m END::BIGINT AS slot
+FROM p LEFT JOIN drawn ON drawn.index = p.index AND drawn.rank = pos // block"""

@@ -419,7 +419,7 @@ def test_pipeline_against_brute_force(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [[r["doc_id"], r["text"], r["source"]] for r in masked.collect()])
-    want = {i: taken for i, _, _, _, taken in con.execute(mixing.SQL).fetchall() if taken}
+    want = {i: taken for i, _, _, _, taken, _ in con.execute(mixing.SQL).fetchall() if taken}
     got = Counter()
     for r in mixed.collect():
         got[r["doc_id"]] += len(r["text"].encode().split())

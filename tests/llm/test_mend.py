@@ -8,6 +8,7 @@ from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from liftworks.llm import minhash, mixing, pii, topk
 
@@ -208,3 +209,26 @@ def test_vectors_move_once_to_many_shards(spark, monkeypatch):
         scores = sorted((-int(w @ v), i) for j, w in whole if j == q for i, v in whole if i != q)
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+# --- the order of the mix ------------------------------------------------------------------------------------------------------------
+
+
+def test_every_tenth_of_the_mix_is_close_to_the_targets(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join("w" * rng.randrange(5, 120)), rng.choice("aaaabbbccd")) for k in range(3000)]
+    docs = spark.createDataFrame([(k, t.replace("", " "), s) for k, t, s in rows], "doc_id long, text string, source string")
+    out = mixing.mixed(docs, "at").select("source", "at", F.regexp_count("text", F.lit(r"\S+")).alias("n")).orderBy("at").collect()
+    every, so_far, done, next_at = Counter(), Counter(), 0, 1
+    for r in out:
+        every[r["source"]] += r["n"]
+    total = sum(every.values())
+    for r in out:
+        so_far[r["source"]] += r["n"]
+        done += r["n"]
+        if done >= total * next_at / 10:
+            assert all(abs(so_far[s] / done - n / total) < 0.02 for s, n in every.items()), (next_at, so_far, every)
+            next_at += 1
+    assert next_at == 11
+    slots = [r["slot"] for r in mixing.mix(docs).where("taken > 0").select("slot").collect()]
+    assert None not in slots and min(slots) < 3
