@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from liftworks.config import CAMPAIGNS, case
 from liftworks.functions import columns as C
+from liftworks.sources.scratch import staged
 
 ARMS = {"TG4": "action", "TG7": "control"}
+#: Events from which on a client's are dealt out by days too, and the days of a bin.
+HEAVY, BIN = 100_000, 30
 
 
 def deployments(raw: DataFrame, data_end: str | None = None, arms: dict = ARMS, without: tuple = ()) -> DataFrame:
@@ -64,6 +67,25 @@ def attributed(population: DataFrame, events: DataFrame, metric: str | None = No
     return rows.select(*population.columns, "success_dt", F.when(F.col("success_dt").isNotNull(), 1).otherwise(0).alias("success"))
 
 
+def attributed_of_heavy(population: DataFrame, events: DataFrame, heavy: int = HEAVY, metric: str | None = None) -> DataFrame:
+    """`attributed` where some clients have very many events: the same rows, in the same columns.
+
+    Clients of more than `heavy` events (any number of them: they are told apart by joins) have their events cut to one per metric and day
+    before these move, and go to bins of BIN days each; their deployments go to every bin that their window touches, and meet the events
+    there. Each event stands in one bin, so windows keep their exact ends. All others are attributed as ever."""
+    crowd = staged(events.groupBy("client_id").count().where(F.col("count") > heavy).select("client_id"))
+    rest = attributed(population.join(crowd, "client_id", "left_anti").select(population.columns), events.join(crowd, "client_id", "left_anti"), metric)
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    d = population.join(crowd, "client_id", "left_semi").select(*population.columns, F.expr(metric or campaign_metrics()).alias("_metric"))
+    bins = F.when(F.col("end_dt") >= F.col("start_dt"), F.sequence(F.floor(day("start_dt") / BIN), F.floor(day("end_dt") / BIN)))
+    d = d.withColumn("_bin", F.explode_outer(bins)).alias("d")
+    e = events.join(crowd, "client_id", "left_semi").select("client_id", "metric", "success_dt").distinct().withColumn("_bin", F.floor(day("success_dt") / BIN)).alias("e")
+    same = [F.col(f"d.{a}") == F.col(f"e.{b}") for a, b in (("client_id", "client_id"), ("_metric", "metric"), ("_bin", "_bin"))]
+    hit = d.join(e, same[0] & same[1] & same[2] & F.col("e.success_dt").between(F.col("d.start_dt"), F.col("d.end_dt")), "left")
+    rows = hit.groupBy(*[F.col(f"d.`{c}`").alias(c) for c in population.columns]).agg(F.min("e.success_dt").alias("success_dt"))
+    return rest.unionByName(rows.withColumn("success", F.when(F.col("success_dt").isNotNull(), 1).otherwise(0)))
+
+
 def metric_flags(population: DataFrame, events: DataFrame, metrics: list[str], key: str = "decision_id") -> DataFrame:
     """Deployments with, for each metric, a flag (0/1) and the first date inside the window: one join for all metrics."""
     d, e = population.alias("d"), events.where(F.col("metric").isin(*metrics)).alias("e")

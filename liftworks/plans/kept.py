@@ -152,6 +152,9 @@ add("s11_kept_gaps", lambda s, d: contact.gaps(kept_by_client(s, d)), O["w7_p14_
 add("s11_kept_waste", lambda s, d: contact.waste(kept_by_client(s, d), "campaign"), O["x1_waste"])
 add("s11_kept_pre_post", pre_post_kept, O["d1_j5_pre_post"])
 
+#: In the test tables a client of 60 events is a heavy one.
+add("j1_heavy_clients", lambda s, d: population.attributed_of_heavy(dep(s, d), ev(s, d), heavy=60), O["a1_first_success"])
+
 #: Days before which the first waves of deployments and events lie.
 WAVES = ("1997-01-01", "1999-06-15", "2100-01-01")
 

@@ -292,3 +292,30 @@ def test_feedback_tables_hold_what_the_flat_one_does(spark):
     tactics = flat.select(F.col("treatment").alias("tactic_id"))
     two = profile.email_flags(profile.feedback_of(*X.feedback_tables(spark, sf), tactics))
     assert Counter(map(tuple, two.collect())) == Counter(map(tuple, profile.email_flags(flat).collect()))
+
+
+# --- heavy clients -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_a_client_of_a_million_events(spark):
+    rng = random.Random(6)
+    rows = decided(rng, 1000, clients=1, span=3000) + decided(rng, 200, clients=9, first=5000, span=3000)
+    made = spark.range(1_000_000).select(F.lit("0").alias("client_id"), F.element_at(F.array(*[F.lit(m) for m in ("acquisition", "activation", "usage", "token")]), (F.col("id") % 4 + 1).cast("int")).alias("metric"), F.date_add(F.lit(DAY), (F.xxhash64("id") % 800 * 2 + 1600).cast("int")).alias("success_dt"))
+    few = happened(rng, 500, span=3100)
+    events = made.unionByName(spark.createDataFrame(few, made.schema))
+    d = spark.createDataFrame(rows, POPULATION)
+    out = population.attributed_of_heavy(d, events, heavy=10_000)
+    assert out.columns == population.attributed(d, events).columns
+    known = [tuple(r) for r in events.distinct().collect()]
+    assert found(out) == by_hand(rows, known)
+
+
+def test_bins_of_heavy_clients_are_even(spark):
+    """No (client, metric, bin) holds more than the days of a bin, however many events a day has."""
+    with scratch.temporaries():
+        made = spark.range(300_000).select((F.col("id") % 1).cast("string").alias("client_id"), F.element_at(F.array(F.lit("acquisition"), F.lit("usage")), (F.col("id") % 2 + 1).cast("int")).alias("metric"), F.date_add(F.lit(DAY), (F.col("id") % 900).cast("int")).alias("success_dt"))
+        d = spark.createDataFrame(decided(random.Random(7), 1000, clients=1, span=900), POPULATION)
+        plan = plan_of(population.attributed_of_heavy(d, made, heavy=1000))
+        assert "_bin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+        per = made.distinct().groupBy("metric", F.floor(F.datediff("success_dt", F.lit("1970-01-01").cast("date")) / population.BIN)).count().selectExpr("max(count)").first()[0]
+        assert per <= population.BIN
