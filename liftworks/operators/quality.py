@@ -1,4 +1,4 @@
-"""Data-quality checks as rows: check_name, status, n_bad."""
+"""Data-quality checks as rows: check_name, status, n_bad, detail."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from liftworks.operators import profile
 
 def report(population: DataFrame, done: DataFrame, events: DataFrame) -> DataFrame:
     """All checks of deployments and their attribution: presence, null ends, unique grain, no lost or doubled rows, flags equal dates, dates
-    inside windows, events of the treatment range, blanks. One pass over each frame; the checks come from one joined row."""
+    inside windows, events of the treatment range, blanks. detail says of how many what was found. One pass over each frame; the checks come
+    from one joined row."""
     codes = [c.code for c in CAMPAIGNS]
     blank = F.trim(F.coalesce(F.col("channel"), F.lit(""))) == ""
     p = population.agg(F.lit(len(codes)) - F.count_distinct(F.when(F.col("campaign").isin(*codes), F.col("campaign"))), F.count_if(F.col("end_dt").isNull()), F.count("*") - F.count_distinct("decision_id"), F.count("*"), F.count_if(blank), F.min("start_dt"), F.max("start_dt"))
@@ -23,7 +24,14 @@ def report(population: DataFrame, done: DataFrame, events: DataFrame) -> DataFra
     rows = rows.withColumn("events_overlap", F.size(F.filter("ranges", lambda r: (r["hi"] < F.col("from")) | (r["lo"] > F.col("to")))))
     info = ("on_boundary", "blank_channel")
     names = ("campaigns_present", "null_end", "unique_grain", "rows_kept", "flag_has_date", "inside_window", "events_overlap", *info)
-    checks = F.array(*[F.struct(F.lit(n).alias("check_name"), (F.lit("INFO") if n in info else F.when(F.col(n) == 0, "PASS").otherwise("FAIL")).alias("status"), F.col(n).cast("long").alias("n_bad")) for n in names])
+    of = {"campaigns_present": (F.lit(len(codes)), "campaigns"), "events_overlap": (F.size("ranges"), "metrics"), **{n: (F.col("attributed"), "attributed") for n in ("flag_has_date", "inside_window", "on_boundary")}}
+    status = lambda n: F.lit("INFO") if n in info else F.when(F.col(n) == 0, "PASS").otherwise("FAIL")
+
+    def detail(n):
+        whole, what = of.get(n, (F.col("deployments"), "deployments"))
+        return F.concat(F.col(n).cast("string"), F.lit(" of "), whole.cast("string"), F.lit(f" {what}"))
+
+    checks = F.array(*[F.struct(F.lit(n).alias("check_name"), status(n).alias("status"), F.col(n).cast("long").alias("n_bad"), detail(n).alias("detail")) for n in names])
     return rows.select(F.explode(checks).alias("x")).select("x.*")
 
 

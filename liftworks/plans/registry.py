@@ -295,9 +295,10 @@ add("s7_email_flags", lambda s, d: profile.email_flags(X.email_feedback(s, d)),
 add("ag07_j4_email_funnel", lambda s, d: profile.email_funnel(X.email_feedback(s, d).select("client_id", "treatment").distinct(), profile.email_flags(X.email_feedback(s, d))),
     q("SELECT CASE WHEN grouping(treatment) = 1 THEN 'ALL' ELSE treatment::VARCHAR END AS treatment, count(*) AS population, " + ", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in ("sent", "opened", "clicked", "unsubscribed")) + ", " + ", ".join(f"{r(f'coalesce(sum({c}), 0)', 'coalesce(sum(sent), 0)')} AS {c}_rate" for c in ("opened", "clicked", "unsubscribed")) + " FROM (SELECT DISTINCT client_id, treatment FROM fb) LEFT JOIN em USING (client_id, treatment) GROUP BY GROUPING SETS ((treatment), ())", _EM))
 add("o9_channel_events", lambda s, d: X.table(s, d, "events").where("event_type = 'purchase' AND value > 0").select(F.col("user_id").cast("string").alias("client_id"), F.to_date("ts").alias("success_dt")).distinct(), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS client_id, CAST(ts AS DATE) AS success_dt FROM events WHERE event_type = 'purchase' AND value > 0")
-_CHECK = "SELECT '{}' AS check_name, CASE WHEN {} = 0 THEN 'PASS' ELSE 'FAIL' END AS status, ({})::BIGINT AS n_bad FROM {}"
+_OF = {"campaigns_present": "5 campaigns", "events_overlap": "' || count(*) || ' metrics", "flag_has_date": "' || count(*) || ' attributed", "inside_window": "' || count(*) || ' attributed"}
+_CHECK = "SELECT '{0}' AS check_name, CASE WHEN {1} = 0 THEN 'PASS' ELSE 'FAIL' END AS status, ({1})::BIGINT AS n_bad, ({1})::BIGINT || ' of {3}' AS detail FROM {2}"
 _Q = [("campaigns_present", "5 - count(DISTINCT campaign)", "dep"), ("null_end", "count(*) FILTER (WHERE end_dt IS NULL)", "dep"), ("unique_grain", "count(*) - count(DISTINCT decision_id)", "dep"), ("rows_kept", "count(*) - (SELECT count(*) FROM dep)", "att"), ("flag_has_date", "count(*) FILTER (WHERE (success = 1) <> (success_dt IS NOT NULL))", "att"), ("inside_window", "count(*) FILTER (WHERE success_dt < start_dt OR success_dt > end_dt)", "att"), ("events_overlap", "count(*) FILTER (WHERE hi < (SELECT min(start_dt) FROM dep) OR lo > (SELECT max(start_dt) FROM dep))", "(SELECT metric, min(success_dt) AS lo, max(success_dt) AS hi FROM ev GROUP BY 1)")]
-_REPORT = " UNION ALL ".join(_CHECK.format(n, e, e, s) for n, e, s in _Q) + " UNION ALL SELECT 'on_boundary', 'INFO', count(*) FILTER (WHERE success_dt = start_dt OR success_dt = end_dt) FROM att UNION ALL SELECT 'blank_channel', 'INFO', count(*) FILTER (WHERE coalesce(channel, '') = '') FROM dep"
+_REPORT = " UNION ALL ".join(_CHECK.format(n, e, s, _OF.get(n, "' || (SELECT count(*) FROM dep) || ' deployments")) for n, e, s in _Q) + "".join(f" UNION ALL SELECT '{n}', 'INFO', {e}, {e} || ' of ' || count(*) || ' {w}' FROM {s}" for n, e, w, s in (("on_boundary", "count(*) FILTER (WHERE success_dt = start_dt OR success_dt = end_dt)", "attributed", "att"), ("blank_channel", "count(*) FILTER (WHERE coalesce(channel, '') = '')", "deployments", "dep")))
 add("q1_q8_quality_report", lambda s, d: quality.report(dep(s, d), att(s, d), ev(s, d)), q(_REPORT))
 add("q14_quality_summary", lambda s, d: quality.summary(quality.report(dep(s, d), att(s, d), ev(s, d))), q(f"SELECT status, count(*) AS checks FROM ({_REPORT}) GROUP BY 1"))
 add("q10_q12_rederived", lambda s, d: quality.rederived(att(s, d), ev(s, d), population.campaign_metrics()), q(f"SELECT campaign, count(*) AS checked, count(*) FILTER (WHERE success_dt IS DISTINCT FROM (SELECT min(e.success_dt) FROM ev e WHERE e.client_id = m.client_id AND e.metric = m.metric AND e.success_dt >= m.start_dt AND e.success_dt <= m.end_dt)) AS mismatches FROM (SELECT *, {_PRIMARY} AS metric FROM att) m GROUP BY 1"))
