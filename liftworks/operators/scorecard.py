@@ -51,19 +51,20 @@ def lite(df: DataFrame, complete_to: str) -> DataFrame:
 def scorecard(df: DataFrame, txns: DataFrame) -> DataFrame:
     """One row per campaign: effect, credibility, efficiency, ramp, difference-in-differences, spend after success. The deployments and the
     spend are written once and read for all parts."""
-    df, txns = staged(df), staged(txns)
-    e = effect.lift_by(df, "campaign").select("campaign", "n1", "n0", "action_rate", "control_rate", "lift", "p_value", F.expr(S.stars("p_value")).alias("stars"), "significance", "incremental")
-    srm = effect.sample_ratio(df, alpha=0.01).select("campaign", F.col("status").alias("srm_status"), F.col("p_value").alias("srm_p"))
-    stab = effect.stability(df).select("campaign", "cv", "stability")
-    act = df.where("arm = 'action'").groupBy("campaign").agg(F.count("*").alias("deployments"), F.countDistinct("client_id").alias("clients"))
-    ramp = vintage.ramp(vintage.curves(df, ("campaign", "arm"))).where("arm = 'action'").select("campaign", "day_50", "day_90")
-    did = spend.did(population.first_deployments(df), txns, "campaign").select("campaign", "did_spend")
-    after = spend.after_success(df.where("arm = 'action'"), txns, "campaign").select("campaign", "avg_spend")
-    out = e
-    for part in (srm, stab, act, ramp, did, after):
-        out = out.join(part, "campaign", "left")
-    contacts = F.expr(f"round({S._d('deployments')} / clients, 6)")
-    return out.withColumns({"avg_contacts": contacts, "per_incremental": F.expr("CASE WHEN incremental > 0 THEN round(deployments / incremental, 4) ELSE 0e0 END")})
+    with temporaries():
+        df, txns = staged(df), staged(txns)
+        e = effect.lift_by(df, "campaign").select("campaign", "n1", "n0", "action_rate", "control_rate", "lift", "p_value", F.expr(S.stars("p_value")).alias("stars"), "significance", "incremental")
+        srm = effect.sample_ratio(df, alpha=0.01).select("campaign", F.col("status").alias("srm_status"), F.col("p_value").alias("srm_p"))
+        stab = effect.stability(df).select("campaign", "cv", "stability")
+        act = df.where("arm = 'action'").groupBy("campaign").agg(F.count("*").alias("deployments"), F.countDistinct("client_id").alias("clients"))
+        ramp = vintage.ramp(vintage.curves(df, ("campaign", "arm"))).where("arm = 'action'").select("campaign", "day_50", "day_90")
+        did = spend.did(population.first_deployments(df), txns, "campaign").select("campaign", "did_spend")
+        after = spend.after_success(df.where("arm = 'action'"), txns, "campaign").select("campaign", "avg_spend")
+        out = e
+        for part in (srm, stab, act, ramp, did, after):
+            out = out.join(part, "campaign", "left")
+        contacts = F.expr(f"round({S._d('deployments')} / clients, 6)")
+        return staged(out.withColumns({"avg_contacts": contacts, "per_incremental": F.expr("CASE WHEN incremental > 0 THEN round(deployments / incremental, 4) ELSE 0e0 END")}), keep=True)
 
 
 def with_importance(card: DataFrame, rows: DataFrame) -> DataFrame:

@@ -82,6 +82,7 @@ def by_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+add("s9_latest_partition", lambda s, d: readers.latest(by_month_end(s, d), "month_end").select("client_id", "month_end", "segment", F.coalesce("age", F.lit(-1)).alias("age")), f"SELECT client_id, month_end, segment, age FROM ({O['s9_latest_snapshot']})")
 MONTHS = ("1996-02-29", "1999-12-31")
 add("s10_months_of_profiles", lambda s, d: by_month_end(s, d).where(F.col("month_end").isin(*[F.lit(m).cast("date") for m in MONTHS])).select("client_id", "month_end", "segment", "age"),
     q(f"SELECT client_id, month_end, segment, age::BIGINT AS age FROM prof WHERE month_end IN ({', '.join(f'DATE {m!r}' for m in MONTHS)})"))

@@ -68,9 +68,11 @@ def first_that_exists(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, column: str) -> DataFrame:
-    """The rows of the largest value of a (partition) column."""
-    top = df.agg(F.max(column).alias("_top"))
-    return df.join(F.broadcast(top), F.col(column) == F.col("_top")).drop("_top")  # one row
+    """The rows of the largest value of a column; of a partition column only that partition is read. No values, no rows.
+
+    The value is asked for first (one row reaches the driver), so that Spark knows it when it lists the files."""
+    top = df.agg(F.max(column)).first()[0]
+    return df.where(F.lit(False) if top is None else F.col(column) == F.lit(top))
 
 
 def save_checked(df: DataFrame, path: str) -> int:

@@ -213,6 +213,16 @@ def test_only_wanted_months_are_read(spark, tmp_path):
     assert {(r["decision_id"], r["age"]) for r in out.collect()} == {(k, k if k < 20 else None) for k in range(30)}
 
 
+def test_only_the_latest_partition_is_read(spark, tmp_path):
+    rows = spark.createDataFrame([(str(c), d) for c in range(3) for d in (date(2000, 1, 31), date(2000, 2, 29))], "client_id string, month_end date")
+    rows.write.partitionBy("month_end").parquet(str(tmp_path / "p"))
+    table = spark.read.schema(rows.schema).parquet(str(tmp_path / "p"))
+    plan = plan_of(readers.latest(table, "month_end"))
+    assert "PartitionFilters: [isnotnull(month_end" in plan and "month_end#" in plan.split("PartitionFilters")[1] and "2000-02-29" in plan.split("PartitionFilters")[1]
+    assert {r["client_id"] for r in readers.latest(table, "month_end").collect()} == {"0", "1", "2"}
+    assert readers.latest(table.where("client_id = 'none'"), "month_end").count() == 0
+
+
 def test_a_doubled_snapshot_is_an_error(spark):
     rows = [("1", date(2000, 1, 31), "s", 5), ("1", date(2000, 1, 31), "s", 6), ("2", date(2000, 1, 31), None, None)]
     snapshots = spark.createDataFrame(rows, "client_id string, month_end date, segment string, age int")
