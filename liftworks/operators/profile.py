@@ -65,6 +65,14 @@ def share(df: DataFrame, *by: str, within: tuple = ()) -> DataFrame:
     return rows.withColumn("pct", F.expr(f"round({S.rate('n', 'total')}, 6)"))
 
 
+def mix_of_scopes(rows: DataFrame, population: DataFrame, *by: str, within: tuple = ()) -> DataFrame:
+    """Rows by these columns and their share (%) within some of them, twice: scope all, and scope experiment for the clients of a population
+    alone (a semi join: a client in it many times counts once)."""
+    part = rows.join(population.select("client_id").distinct(), "client_id", "left_semi").select(rows.columns)
+    both = rows.withColumn("scope", F.lit("all")).unionByName(part.withColumn("scope", F.lit("experiment")))
+    return share(both, "scope", *by, within=("scope", *within))
+
+
 def most_common(df: DataFrame, value: str, *by: str) -> DataFrame:
     """The most frequent value of each group; ties go to the first by name."""
     rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))

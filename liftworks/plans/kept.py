@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftworks import config as K
+from liftworks.functions import columns as C
 from liftworks.operators import contact, population, profile, quality, sketch, spend
-from liftworks.plans.registry import _CODE, BASE, add, att, dep, ev, on_att, on_dep, q
+from liftworks.plans.registry import _CODE, BASE, add, att, dep, ev, on_att, on_dep, q, r, with_txns
 from liftworks.plans.registry import ORACLE_SQL as O
 from liftworks.sources import fixtures as X
 from liftworks.sources import readers, scratch, store
@@ -171,6 +172,31 @@ def in_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("s11_incremental", in_waves, O["a1_first_success"])
 
+# --- wider forms -------------------------------------------------------------------------------------------------------------------------
+
+
+def cards_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards' status by month of issue, of all clients and of those in one experiment."""
+    issued = X.card_table(spark, sf_dir).where("issued IS NOT NULL").withColumn("month", F.date_format("issued", "yyyy-MM"))
+    return profile.mix_of_scopes(issued, dep(spark, sf_dir).where("campaign = 'TOK' AND cohort = '1997-03'"), "month", "status", within=("month",))
+
+
+_ISSUED = f"issued AS (SELECT CAST(o_custkey AS VARCHAR) AS client_id, {K.case('o_orderstatus', {'F': '06', 'O': '08', 'P': '01'})} AS status, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderkey % 11 <> 0), both_scopes AS (SELECT 'all' AS scope, * FROM issued UNION ALL SELECT 'experiment', * FROM issued WHERE client_id IN (SELECT client_id FROM dep WHERE campaign = 'TOK' AND cohort = '1997-03'))"
+add("ag19_cards_by_scope", cards_by_month, q(f"SELECT scope, month, status, n, total, {r('n', 'total')} AS pct FROM (SELECT *, (sum(n) OVER (PARTITION BY scope, month))::BIGINT AS total FROM (SELECT scope, month, status, count(*) AS n FROM both_scopes GROUP BY ALL))", _ISSUED))
+
+def labels_of_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fiscal quarters of calendar-quarter labels in all forms that reports use, and null for what is none."""
+    y, k = F.year("start_dt").cast("string"), F.quarter("start_dt").cast("string")
+    labels = F.array(F.concat(y, F.lit("Q"), k), F.concat(y, F.lit("-Q"), k), F.concat(F.lit("Q"), k, F.lit(" "), y), F.concat(F.lit("year "), y))
+    return dep(spark, sf_dir).select(F.explode(labels).alias("label")).distinct().withColumn("fiscal", C.fiscal_of_quarter("label"))
+
+
+_LABELS = " UNION ".join(f"SELECT {e} AS label, 'FY' || (y + CASE WHEN k = 4 THEN 1 ELSE 0 END) || 'Q' || (k % 4 + 1) AS fiscal FROM yk" for e in ("y || 'Q' || k", "y || '-Q' || k", "'Q' || k || ' ' || y")) + " UNION SELECT 'year ' || y, NULL FROM yk"
+add("p9_fiscal_of_labels", labels_of_quarters, q(_LABELS, "yk AS (SELECT DISTINCT year(start_dt) AS y, quarter(start_dt) AS k FROM dep)"))
+
+_SPENT = "SELECT g.campaign, g.cohort, g.arm, g.day, successes, (sum(coalesce(spend, 0)) OVER (PARTITION BY g.campaign, g.cohort, g.arm ORDER BY g.day))::DECIMAL(38,2)::DOUBLE AS cum_spend FROM (SELECT *, unnest(range(121)) AS day FROM (SELECT campaign, cohort, arm, count(*) AS successes FROM att WHERE success = 1 GROUP BY ALL)) g LEFT JOIN (SELECT campaign, cohort, arm, txn_dt - success_dt AS day, sum(amount) AS spend FROM att d JOIN txn t ON t.client_id = d.client_id AND txn_dt BETWEEN success_dt AND success_dt + 120 GROUP BY ALL) s USING (campaign, cohort, arm, day)"
+add("d5_velocity_by_cohort", with_txns(lambda d, t: spend.velocity(d, t, "campaign", "cohort", "arm", most=120)), q(f"SELECT *, cum_spend / successes AS per_success FROM ({_SPENT})"))
+
 # --- checks and rules --------------------------------------------------------------------------------------------------------------------
 
 _METRICS = ("acquisition", "activation", "usage", "token")
