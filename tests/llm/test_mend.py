@@ -1,5 +1,6 @@
 """Rows that earlier forms lost or left in clear."""
 
+import math
 import random
 import re
 import zlib
@@ -8,9 +9,10 @@ from datetime import date
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from liftworks.llm import minhash, mixing, pii, topk
+from liftworks.llm import minhash, mixing, pii, topk, toxicity
 
 CLASH = ("a29685295 word", "a32060020 word")
 
@@ -232,3 +234,49 @@ def test_every_tenth_of_the_mix_is_close_to_the_targets(spark):
     assert next_at == 11
     slots = [r["slot"] for r in mixing.mix(docs).where("taken > 0").select("slot").collect()]
     assert None not in slots and min(slots) < 3
+
+
+# --- toxicity --------------------------------------------------------------------------------------------------------------------------
+
+
+def score_by_hand(model, text):
+    """The score of a text from the stored dictionaries and weights alone: words, windows, compressions and the logistic written anew."""
+    words, word = [], b""
+    for c in text.lower() + b" " if text.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in text) + b" ":
+        if c >= 0x80 or chr(c).isalnum():
+            word += bytes([c])
+        elif word:
+            words += [word[i : i + 64] for i in range(0, len(word), 64)]
+            word = b""
+    runs, now = [], b" "
+    for w in words:
+        if len(now) + len(w) + 1 > 64 and now != b" ":
+            runs.append(now)
+            now = b" "
+        now += w + b" "
+    runs += [now] if now != b" " else []
+    if not runs:
+        return model.prior
+
+    def size(window, raw):
+        p = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(raw), source_size=64, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    saved = [size(w, model.ordinary) - size(w, model.toxic + model.ordinary) for w in runs]
+    clear = sum(s >= 3 for s in saved)
+    x = [1.0, max(-1.0, min(4.0, sum(saved) / len(saved))), clear / len(saved), math.log1p(clear), min(12.0, max(saved)) / 4]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_scores_from_stored_dictionaries(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, " .,! "), (9004, "y" * 300 + " ÉTÉ été Ab1")], "doc_id long, text string"))
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r["doc_id"]] == pytest.approx(score_by_hand(model, (r["text"] or "").encode()), abs=1e-9), r["doc_id"]
