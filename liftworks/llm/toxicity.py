@@ -94,7 +94,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a trained dictionary; of too few samples, their own bytes."""
+    """A trained dictionary as raw content, its header (some 130 bytes) included; of too few samples, their own bytes."""
     try:
         return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()[-size:]
     except (zstandard.ZstdError, ValueError):
@@ -171,6 +171,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, held_out, score, predicted. Null, empty and wordless texts get the training rows' share of label 1; a row without
+    doc_id is not held out; repeated rows get equal scores; without training rows of both classes all scores are 0; no rows give none."""
     documents = table(spark, sf_dir, "documents")
     scored = score(documents, train(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 """Rows that earlier forms lost or left in clear."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from liftworks.llm import minhash, mixing, pii, topk, toxicity
+from liftworks.llm import common, minhash, mixing, pii, queries, topk, toxicity
 
 CLASH = ("a29685295 word", "a32060020 word")
 
@@ -280,3 +281,15 @@ def test_scores_from_stored_dictionaries(spark):
     assert len(got) == len(rows)
     for r in rows:
         assert got[r["doc_id"]] == pytest.approx(score_by_hand(model, (r["text"] or "").encode()), abs=1e-9), r["doc_id"]
+
+
+# --- what queries leave behind -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op6_mixing", "op7_quality", "op12_manifest", "op13_spelling"])
+def test_a_query_leaves_its_rows_alone(spark, name):
+    path = common.shared_dir(spark).removeprefix("file:")
+    held = lambda: set(os.listdir(path)) if os.path.isdir(path) else set()
+    before = held()
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(held() - before) == 1 and rows.count() > 0
