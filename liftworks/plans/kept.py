@@ -107,6 +107,14 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.first_that_exists(spark, [f"{scratch.shared_dir(spark)}/none-{uuid.uuid4().hex}", kept(att(spark, sf_dir))])
 
 
+def saved_and_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributed deployments saved, the rows that arrived compared with those that were written, and read again."""
+    path = scratch.claimed(spark)
+    readers.save_checked(att(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+add("s11_saved_and_counted", saved_and_counted, O["a1_first_success"])
 add("s12_fallback", lambda s, d: fallback(s, d).groupBy("campaign").agg(F.count("*").alias("deployments"), F.sum("success").alias("successes")), q("SELECT campaign, count(*) AS deployments, sum(success)::BIGINT AS successes FROM att GROUP BY 1"))
 
 

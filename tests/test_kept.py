@@ -329,3 +329,18 @@ def test_bins_of_heavy_clients_are_even(spark):
         assert "_bin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
         per = made.distinct().groupBy("metric", F.floor(F.datediff("success_dt", F.lit("1970-01-01").cast("date")) / population.BIN)).count().selectExpr("max(count)").first()[0]
         assert per <= population.BIN
+
+
+def test_a_driver_local_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace as Of
+
+    def session(master, **conf):
+        get = lambda key, *default: conf.get(key.rsplit(".", 2)[-2] + "_" + key.rsplit(".", 1)[-1], *default)
+        return Of(conf=Of(get=get), sparkContext=Of(master=master, applicationId="app"))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch.shared_dir(session(master, warehouse_dir="file:/tmp/w"))
+    assert scratch.shared_dir(session("local[4]", warehouse_dir="file:/tmp/w")) == "file:/tmp/w/_staged/app"
+    assert scratch.shared_dir(session("yarn", warehouse_dir="hdfs://n/w")) == "hdfs://n/w/_staged/app"
+    assert scratch.shared_dir(session("yarn", warehouse_dir="file:/tmp/w", checkpoint_dir="hdfs://n/c")) == "hdfs://n/c/app"
