@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 from itertools import repeat
 from pathlib import Path
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftworks.sources.scratch import shared_dir, staged, temporaries  # noqa: F401  for the operators
+from liftworks.sources.scratch import setting, shared_dir, staged, temporaries  # noqa: F401  for the operators
 
 #: Entries that a worker keeps of a word cache; it starts anew beyond this.
 CACHE_WORDS = 400_000
@@ -29,17 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: object):
-    """A session setting for what runs inside."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(value))
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of texts holds (only lowers the session's setting), and let workers find this package."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

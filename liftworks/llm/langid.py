@@ -28,6 +28,8 @@ LOOKED_UP = 4096
 EVIDENCE = 30.0
 #: A host with more than this share of all pages is dealt out: there are no more such hosts than its inverse, and each takes as many parts.
 HOT = 1 / 1000
+#: Parts that the hosts of a suffix are dealt out to.
+SUFFIX_PARTS = 64
 #: Pages' worth of the level above in a suffix's and a host's prior, and of uniform declarations.
 SMOOTH, DECLARED_SMOOTH = 5.0, 1.0
 _DROP = re.compile(r"<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -124,7 +126,10 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     says = evidence.sparkSession.createDataFrame([(d, p.tolist()) for d, p in said.items()], "declared string, says array<double>")
     suffixes = staged(evidence.groupBy("suffix").agg(sums.alias("s")))
     hosts = staged(evidence.groupBy("host").agg(sums.alias("h"), F.count("*").alias("n")))
-    hosts = staged(hosts.withColumn("suffix", F.substring_index("host", ".", -1)).join(suffixes, "suffix"))
+    # Half of all hosts may share a suffix: they meet it by suffix and part.
+    suffixes = suffixes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SUFFIX_PARTS - 1))))
+    hosts = hosts.withColumns({"suffix": F.substring_index("host", ".", -1), "_part": F.pmod(F.xxhash64("host"), F.lit(SUFFIX_PARTS)).cast("int")})
+    hosts = staged(hosts.join(suffixes, ["suffix", "_part"]).drop("_part"))
     # Pages meet their host by host and part, so that no task gets all pages of one host.
     pages = hosts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(hosts.where(F.col("n") > HOT * pages).select("host", F.ceil(F.col("n") / F.lit(max(1.0, HOT * pages))).cast("int").alias("parts")))  # at most 1 / HOT rows
