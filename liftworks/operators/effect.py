@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from liftworks.config import CAMPAIGNS, CONTACTS, case
 from liftworks.functions import stats as S
+from liftworks.sources.scratch import staged, temporaries
 
 ACTION = "arm = 'action'"
 CONTROL = "arm = 'control'"
@@ -18,8 +19,16 @@ def performance(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("deployments"), F.sum("success").alias("successes")).withColumn("rate", F.expr(f"round({S.rate('successes', 'deployments')}, 6)"))
 
 
+def counted(df: DataFrame, *by: str) -> DataFrame:
+    """by, arm, n, s: deployments and successes, small enough to be counted up again at every coarser grain (`arms` with unit counted)."""
+    return df.groupBy(*by, "arm").agg(F.count("*").alias("n"), F.sum("success").alias("s"))
+
+
 def arms(df: DataFrame, *by: str, unit: str = "deployment") -> DataFrame:
-    """n1, s1 (action) and n0, s0 (control) by these columns; unit client counts clients and those with any success."""
+    """n1, s1 (action) and n0, s0 (control) by these columns; unit client counts clients and those with any success, unit counted adds up
+    the rows of `counted`."""
+    if unit == "counted":
+        return df.groupBy(*by).agg(*arm_aggs("sum(n)", "sum(s)"))
     if unit == "client":
         df = df.groupBy(*by, "arm", "client_id").agg(F.max("success").alias("success"))
     return df.groupBy(*by).agg(*arm_aggs())
@@ -55,8 +64,8 @@ def with_all(df: DataFrame, sets: list[tuple[str, ...]], aggs: list) -> DataFram
     return out.withColumns({c: F.when(F.col(f"_g_{c}") == 1, "ALL").otherwise(F.col(c)) for c in every}).drop(*[f"_g_{c}" for c in every])
 
 
-def arm_aggs() -> list:
-    parts = (("n1", "count(*)", ACTION), ("s1", "sum(success)", ACTION), ("n0", "count(*)", CONTROL), ("s0", "sum(success)", CONTROL))
+def arm_aggs(n: str = "count(*)", s: str = "sum(success)") -> list:
+    parts = (("n1", n, ACTION), ("s1", s, ACTION), ("n0", n, CONTROL), ("s0", s, CONTROL))
     return [F.expr(f"coalesce({f} FILTER (WHERE {arm}), 0)").cast("long").alias(x) for x, f, arm in parts]
 
 
@@ -72,16 +81,16 @@ def slices(df: DataFrame, names: list[str]) -> DataFrame:
     return lift_by(long, "campaign", "slice_type", "slice", unit="client")
 
 
-def sample_ratio(df: DataFrame, *by: str, alpha: float = 0.05) -> DataFrame:
+def sample_ratio(df: DataFrame, *by: str, alpha: float = 0.05, unit: str = "deployment") -> DataFrame:
     """Chi-squared of the arms' deployments against the designed split, with an alert."""
-    rows = arms(df, "campaign", *by).withColumn("split", F.expr(case("campaign", {c.code: c.split for c in CAMPAIGNS}) + " * 1e0"))
+    rows = arms(df, "campaign", *by, unit=unit).withColumn("split", F.expr(case("campaign", {c.code: c.split for c in CAMPAIGNS}) + " * 1e0"))
     rows = rows.withColumn("chi2", F.expr(S.srm_chi2("n1", "n0", "split"))).withColumn("p", F.expr(S.chi2_p("chi2")))
     return rows.select("campaign", *by, "n1", "n0", F.expr("round(chi2, 4)").alias("chi2"), F.expr("round(p, 6)").alias("p_value"), F.expr(f"CASE WHEN p <= {alpha}e0 THEN 'ALERT' ELSE 'OK' END").alias("status"))
 
 
-def stability(df: DataFrame) -> DataFrame:
+def stability(df: DataFrame, unit: str = "deployment") -> DataFrame:
     """Spread of the cohorts' lifts: sample deviation over the mean's size; 999 for a mean of about 0, 0 for a single cohort."""
-    lifts = arms(df, "campaign", "cohort").where("n1 > 0 AND n0 > 0").withColumn("lift", F.expr(S.lift(*N)))
+    lifts = arms(df, "campaign", "cohort", unit=unit).where("n1 > 0 AND n0 > 0").withColumn("lift", F.expr(S.lift(*N)))
     rows = lifts.groupBy("campaign").agg(F.count("*").alias("cohorts"), F.avg("lift").alias("m"), F.stddev_samp("lift").alias("s"))
     rows = rows.withColumn("cv", F.expr("CASE WHEN cohorts = 1 THEN 0e0 WHEN abs(m) < 1e-9 THEN 999e0 ELSE s / abs(m) END"))
     return rows.select("campaign", "cohorts", F.round("cv", 4).alias("cv"), F.expr("CASE WHEN cv < 0.5e0 THEN 'STABLE' WHEN cv < 1e0 THEN 'MODERATE' ELSE 'UNSTABLE' END").alias("stability"))
@@ -111,7 +120,9 @@ def by_frequency(df: DataFrame) -> DataFrame:
 
 def credibility(df: DataFrame) -> DataFrame:
     """One row per campaign: the sample ratio and the cohorts' stability."""
-    return sample_ratio(df).join(stability(df), "campaign", "left")
+    with temporaries():
+        rows = staged(counted(df, "campaign", "cohort"))
+        return staged(sample_ratio(rows, unit="counted").join(stability(rows, unit="counted"), "campaign", "left"), keep=True)
 
 
 def increments(rows: DataFrame) -> DataFrame:

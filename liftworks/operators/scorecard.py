@@ -53,9 +53,10 @@ def scorecard(df: DataFrame, txns: DataFrame) -> DataFrame:
     spend are written once and read for all parts."""
     with temporaries():
         df, txns = staged(df), staged(txns)
-        e = effect.lift_by(df, "campaign").select("campaign", "n1", "n0", "action_rate", "control_rate", "lift", "p_value", F.expr(S.stars("p_value")).alias("stars"), "significance", "incremental")
-        srm = effect.sample_ratio(df, alpha=0.01).select("campaign", F.col("status").alias("srm_status"), F.col("p_value").alias("srm_p"))
-        stab = effect.stability(df).select("campaign", "cv", "stability")
+        small = staged(effect.counted(df, "campaign", "cohort"))  # a row per campaign, cohort and arm
+        e = effect.lift_by(small, "campaign", unit="counted").select("campaign", "n1", "n0", "action_rate", "control_rate", "lift", "p_value", F.expr(S.stars("p_value")).alias("stars"), "significance", "incremental")
+        srm = effect.sample_ratio(small, alpha=0.01, unit="counted").select("campaign", F.col("status").alias("srm_status"), F.col("p_value").alias("srm_p"))
+        stab = effect.stability(small, unit="counted").select("campaign", "cv", "stability")
         act = df.where("arm = 'action'").groupBy("campaign").agg(F.count("*").alias("deployments"), F.countDistinct("client_id").alias("clients"))
         ramp = vintage.ramp(vintage.curves(df, ("campaign", "arm"))).where("arm = 'action'").select("campaign", "day_50", "day_90")
         did = spend.did(population.first_deployments(df), txns, "campaign").select("campaign", "did_spend")
