@@ -9,9 +9,10 @@ from liftworks.functions import stats as S
 from liftworks.operators import contact, effect, population, profile, quality, scorecard, spend, tree, vintage
 from liftworks.plans import registry as R
 from liftworks.plans.registry import ORACLE_SQL as O
-from liftworks.plans.registry import add, att, dep, ev, on_att, on_dep, q, r, rich, with_txns
+from liftworks.plans.registry import add, att, dep, ev, on_att, on_dep, q, r, with_txns
 from liftworks.sources import fixtures as X
 from liftworks.sources import rules
+from liftworks.sources.scratch import staged, temporaries
 
 # --- source rules ------------------------------------------------------------------------------------------------------------------
 
@@ -79,7 +80,17 @@ FROM ({O["e2_overall_lift"]}) LEFT JOIN ({q(_SRM)}) USING (campaign) LEFT JOIN (
 LEFT JOIN ({q("SELECT campaign, count(*) AS deployments, count(DISTINCT client_id) AS clients FROM dep WHERE arm = 'action' GROUP BY 1")}) USING (campaign)
 LEFT JOIN (SELECT campaign, day_50, day_90 FROM ({O["v5_ramp"]}) WHERE arm = 'action') USING (campaign) LEFT JOIN ({O["d3_ag13_did"]}) USING (campaign) LEFT JOIN (SELECT campaign, avg_spend FROM ({q(_AFTER)})) USING (campaign)"""
 add("e11_scorecard", with_txns(scorecard.scorecard), _CARD_SQL)
-add("e11_scorecard_with_importance", lambda s, d: scorecard.with_importance(scorecard.scorecard(att(s, d), X.transactions(s, d)), tree.importance(rich(s, d))),
+
+
+def card_with_importance(spark, sf_dir):
+    """The scorecard and the trees from one attribution, written once."""
+    with temporaries():
+        done = staged(att(spark, sf_dir))
+        trees = tree.importance(profile.enriched(done, X.profiles(spark, sf_dir), X.PROFILE_CAP))
+        return staged(scorecard.with_importance(scorecard.scorecard(done, X.transactions(spark, sf_dir)), trees), keep=True)
+
+
+add("e11_scorecard_with_importance", card_with_importance,
     f"SELECT c.*, t.feature AS top_feature, t.importance AS top_importance FROM ({O['e11_scorecard']}) c LEFT JOIN (SELECT * FROM ({O['t9_importance']}) QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY importance DESC, feature) = 1) t USING (campaign)")
 add("v4_event_days", on_att(vintage.event_day_curves), q(f"SELECT campaign, cohort, arm, day, client_cnt, (sum(n) OVER (PARTITION BY campaign, cohort, arm ORDER BY day))::BIGINT AS success_cnt, {r('(sum(n) OVER (PARTITION BY campaign, cohort, arm ORDER BY day))', 'client_cnt')} AS rate FROM (SELECT campaign, cohort, arm, day, count(*) AS n FROM (SELECT campaign, cohort, arm, client_id, min(success_dt - start_dt) AS day FROM att WHERE success_dt IS NOT NULL GROUP BY ALL) GROUP BY ALL) JOIN (SELECT campaign, cohort, arm, count(DISTINCT client_id) AS client_cnt, quantile_disc(window_days, 0.5) AS window_days FROM att GROUP BY ALL) USING (campaign, cohort, arm) WHERE day <= window_days"))
 add("v6_fixed_grid_90", on_att(lambda d: vintage.curves(d.where("campaign = 'TOK'"), ("campaign", "cohort", "arm"), days=90, unit="client")), q(R._curve("campaign, cohort, arm", "tok", "90", "client"), "tok AS (SELECT * FROM att WHERE campaign = 'TOK')"))
