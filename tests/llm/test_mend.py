@@ -67,6 +67,8 @@ def findings(text):
 
     def tries(i):
         before = text[i - 1] if i else ""
+        if before.isascii() and before.isalnum() and text[i] not in "0123456789+(":
+            return  # within a word nothing begins
         if not (before and local(before)) and i < n and local(text[i]):
             j = i
             while j < n and local(text[j]):
