@@ -234,6 +234,16 @@ def test_a_doubled_snapshot_is_an_error(spark):
     assert {(r["decision_id"], r["age"]) for r in fine.collect()} == {(1, 5), (2, None), (3, None)}
 
 
+def test_snapshots_made_from_a_small_table_are_not_broadcast(spark):
+    month = F.explode(F.sequence(F.lit("2000-01-01").cast("date"), F.lit("2000-12-01").cast("date"), F.expr("interval 1 month")))
+    snapshots = spark.range(50).select(F.col("id").cast("string").alias("client_id"), F.col("id").alias("age"), month.alias("m")).select("client_id", F.last_day("m").alias("month_end"), "age")
+    d = spark.createDataFrame([(k, str(k), date(2000, 1 + k % 12, 3)) for k in range(60)], "decision_id long, client_id string, start_dt date")
+    for strict in (False, True):
+        out = profile.enriched(d, snapshots, "2000-12-31", strict).select("decision_id", "age")
+        assert "BroadcastHashJoin" not in plan_of(out)
+        assert {tuple(r) for r in out.collect()} == {(k, k if k < 50 else None) for k in range(60)}
+
+
 # --- warehouse ---------------------------------------------------------------------------------------------------------------------------
 
 
