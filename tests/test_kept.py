@@ -244,6 +244,19 @@ def test_snapshots_made_from_a_small_table_are_not_broadcast(spark):
         assert {tuple(r) for r in out.collect()} == {(k, k if k < 50 else None) for k in range(60)}
 
 
+def customers(spark, path, n):
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.lit("s").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal")).coalesce(1).write.parquet(f"{path}/customer.parquet")
+    return str(path)
+
+
+def test_snapshots_of_many_clients_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "CLIENTS", 100, raising=False)
+    rows = X.profiles(spark, customers(spark, tmp_path, 1000))
+    per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 5 and max(per_task) < 200 * 78 and sum(per_task) == 78_000
+    assert {(r["n"], r["clients"]) for r in profile.partition_sizes(rows).collect()} == {(1000, 1000)}
+
+
 # --- warehouse ---------------------------------------------------------------------------------------------------------------------------
 
 
