@@ -257,6 +257,15 @@ def test_snapshots_of_many_clients_are_made_by_many_tasks(spark, tmp_path, monke
     assert {(r["n"], r["clients"]) for r in profile.partition_sizes(rows).collect()} == {(1000, 1000)}
 
 
+def test_a_large_month_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "CLIENTS", 500, raising=False)
+    with scratch.temporaries(), scratch.setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "8KB"):
+        table = kept.by_month_end(spark, customers(spark, tmp_path, 4000))
+        files = Counter(f.split("month_end=")[1].split("/")[0] for f in table.inputFiles())
+        assert len(files) == 78 and min(files.values()) > 1
+        assert {r["count"] for r in table.groupBy("month_end").count().collect()} == {4000} and table.distinct().count() == 78 * 4000
+
+
 # --- warehouse ---------------------------------------------------------------------------------------------------------------------------
 
 
