@@ -304,6 +304,21 @@ def test_sketches_keep_their_error_when_merged(spark):
     assert abs(sketch.overlap(kept_rows, "campaign", "A", "B").first()["both"] - both) < 0.03 * n
 
 
+def test_sketches_of_many_clients_count_exactly(spark):
+    n = 120_000  # far above what one sketch holds
+    df = spark.range(n).select(F.concat(F.lit("c"), "id").alias("client_id"), F.explode(F.array(F.when(F.col("id") % 3 == 0, "A").otherwise("B"), F.when(F.col("id") % 5 == 0, "B"))).alias("campaign"), (F.col("id") % 4).cast("string").alias("cohort")).where("campaign IS NOT NULL")
+    kept_rows = sketch.client_sketches(df, "campaign", "cohort")
+    want = {r["campaign"]: (r["deployments"], r["clients"]) for r in df.groupBy("campaign").agg(F.count("*").alias("deployments"), F.count_distinct("client_id").alias("clients")).collect()}
+    assert {r["campaign"]: (r["deployments"], r["clients"]) for r in sketch.counted(sketch.rolled_up(kept_rows, "campaign")).collect()} == want
+    assert sketch.counted(sketch.rolled_up(kept_rows)).first()["clients"] == n
+    both = sketch.overlap(kept_rows, "campaign", "A", "B").first()
+    assert (both["a_clients"], both["b_clients"], both["both"]) == (want["A"][1], want["B"][1], n // 15)
+    none = sketch.overlap(kept_rows, "campaign", "none", "B").first()
+    assert (none["a_clients"], none["both"]) == (0, 0)
+    with pytest.raises(Exception, match="more parts"):
+        sketch.counted(sketch.rolled_up(sketch.client_sketches(df, "campaign", parts=2), "campaign")).collect()
+
+
 def test_merged_percentiles_keep_their_rank(spark):
     df = spark.range(120_000).select((F.col("id") % 30_000).cast("string").alias("client_id"), F.lit("A").alias("campaign"), (F.col("id") % 30_000 % 7).alias("part"))
     df = df.unionByName(df.where("client_id < '5' AND part > 2"))
