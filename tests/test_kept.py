@@ -131,6 +131,17 @@ def test_only_touched_months_are_written(spark, tmp_path):
     assert store.advance(root, spark.createDataFrame([], POPULATION), frame([]), frame([])) == []
 
 
+def test_only_events_that_a_window_can_hold_are_joined(spark, tmp_path, monkeypatch):
+    seen, real = [], population.attributed
+    monkeypatch.setattr(population, "attributed", lambda d, e, *a: seen.append({r["success_dt"] for r in e.collect()}) or real(d, e, *a))
+    one = lambda k, start: (k, "1", "t", "ACQ", "action", "R", "EM", day(start), day(start + 30), 30, day(start).strftime("%Y-%m"))
+    events = spark.createDataFrame([("1", "acquisition", day(n)) for n in range(0, 300, 3)], "client_id string, metric string, success_dt date")
+    store.advance(str(tmp_path / "kept"), spark.createDataFrame([one(1, 100), one(2, 110)], POPULATION), events, events)
+    store.advance(str(tmp_path / "kept"), spark.createDataFrame([], POPULATION), events, events)
+    assert seen == [{day(n) for n in range(102, 141, 3)}, set()]
+    assert found(store.open_by_month(spark, str(tmp_path / "kept"), POPULATION + ", success_dt date, success int")) == {(1, day(102)): 1, (2, day(111)): 1}
+
+
 # --- trees -----------------------------------------------------------------------------------------------------------------------------
 
 
