@@ -95,6 +95,18 @@ def test_attribution_moves_each_table_once(spark):
         assert plan_of(done).count("Exchange ") == 2 and found(done) == by_hand(rows, events)
 
 
+def test_days_of_events_need_no_move_where_lines_lie_by_client(spark):
+    lines = spark.createDataFrame([(str(k % 7), "RAN"[k % 3], day(k % 40), 1.0, k % 2 == 0 or None) for k in range(200)], "client_id string, l_returnflag string, l_shipdate date, l_extendedprice double, listed boolean")
+    with scratch.temporaries(), scratch.setting(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        kept_lines = store.staged_by_client(lines, 6)
+        days = population.event_days(X.events_of(kept_lines))
+        assert "Exchange" not in plan_of(days) and "Exchange" not in plan_of(X.spend_of(kept_lines))
+        want = defaultdict(set)
+        for c, f, d, _, listed in lines.collect():
+            want[c, d] |= {{"R": "acquisition", "A": "activation", "N": "usage"}[f]} | ({"token"} if f == "N" and listed else set())
+        assert {(r["client_id"], r["success_dt"]): set(r["metrics"]) for r in days.collect()} == want
+
+
 # --- by month --------------------------------------------------------------------------------------------------------------------------
 
 
